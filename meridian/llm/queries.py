@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import packing, quality, tokenfile, toxicity
+from . import lines, packing, quality, tokenfile, toxicity, urls
 from .common import Work, fold, table
 
 
@@ -20,6 +20,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents less the later copies of repeated line runs."""
+    done = lines.dedup(Work(spark, "op9"), table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "text", "n_lines", "n_removed", "n_runs")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents; fitted on labels of the folds other than 1 of 3."""
     docs, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 3) == 1
@@ -35,6 +41,15 @@ def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, path, with_ids=False)
 
 
+#: The rules of the registered query.
+RULES = [urls.Rule("block", "com", "/en/"), urls.Rule("allow", "example.com", "/en/7"), urls.Rule("allow", "net", "/de/"), urls.Rule("block", "example.net", "/de/8"), urls.Rule("block", "org", "/es/")]
+
+
+def op5_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, winning rule and verdict of all pages."""
+    return urls.judge(Work(spark, "op5"), table(spark, sf_dir, "pages"), RULES)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 4096 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -43,8 +58,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_token_file": op3_token_file,
+    "op5_redirects": op5_redirects,
     "op6_packing": op6_packing,
     "op8_toxicity": op8_toxicity,
+    "op9_line_runs": op9_line_runs,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_redirects": urls.ORACLE_SQL,
+    "op9_line_runs": lines.ORACLE_SQL,
+}
