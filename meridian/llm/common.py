@@ -102,3 +102,12 @@ def components(work: Work, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         mark = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def with_rows(work: Work, docs: DataFrame) -> DataFrame:
+    """``docs`` with a unique long ``_row``: the doc_id where all are different and none is null, else a written number."""
+    docs = docs.drop("_row")
+    doubtful = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    if doubtful.isEmpty():
+        return docs.withColumn("_row", F.col("doc_id").cast("long"))
+    return work.write(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
