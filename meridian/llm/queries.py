@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import lines, neardup, packing, quality, tokenfile, toxicity, urls
+from . import decontam, lines, neardup, packing, quality, tokenfile, toxicity, urls
 from .common import Work, fold, table
 
 
@@ -55,6 +55,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_bm25_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which items of the benchmark leak."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     return neardup.near_duplicates(Work(spark, "op10"), table(spark, sf_dir, "documents"))
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_file": op3_token_file,
     "op5_redirects": op5_redirects,
     "op6_packing": op6_packing,
+    "op7_bm25_leaks": op7_bm25_leaks,
     "op8_toxicity": op8_toxicity,
     "op9_line_runs": op9_line_runs,
     "op10_probminhash": op10_probminhash,
