@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontam, lines, neardup, packing, quality, tokenfile, toxicity, urls
+from . import decontam, embdedup, lines, neardup, packing, quality, tokenfile, toxicity, urls
 from .common import Work, fold, table
 
 
@@ -34,6 +34,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op2_binary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings by cosine."""
+    return embdedup.near_duplicates(Work(spark, "op2"), table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the corpus as a token-id file and reads per-document offsets and checksums back from it."""
     path = f"{Work(spark, 'op3').path}/file"
@@ -67,6 +72,7 @@ def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_binary_codes": op2_binary_codes,
     "op3_token_file": op3_token_file,
     "op5_redirects": op5_redirects,
     "op6_packing": op6_packing,
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_binary_codes": embdedup.ORACLE_SQL,
     "op5_redirects": urls.ORACLE_SQL,
     "op9_line_runs": lines.ORACLE_SQL,
 }
