@@ -104,10 +104,15 @@ def components(work: Work, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def with_rows(work: Work, docs: DataFrame) -> DataFrame:
-    """``docs`` with a unique long ``_row``: the doc_id where all are different and none is null, else a written number."""
+def with_rows(work: Work, docs: DataFrame, ordered: bool = False) -> DataFrame:
+    """``docs`` with a unique long ``_row``: the doc_id where all are different and none is null, else a written number.
+
+    ``ordered``: in the order of doc_id (nulls first), then text.
+    """
     docs = docs.drop("_row")
     doubtful = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
     if doubtful.isEmpty():
         return docs.withColumn("_row", F.col("doc_id").cast("long"))
+    if ordered:
+        docs = docs.orderBy(F.col("doc_id").asc_nulls_first(), "text")
     return work.write(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontam, embdedup, lines, neardup, packing, quality, tokenfile, toxicity, urls
+from . import decontam, embdedup, lines, neardup, packing, quality, suffixes, tokenfile, toxicity, urls
 from .common import Work, fold, table
 
 
@@ -46,6 +46,11 @@ def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, path, with_ids=False)
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents less every byte of a 100-byte string that also starts earlier."""
+    return suffixes.dedup(Work(spark, "op4"), table(spark, sf_dir, "documents"), with_text=False)
+
+
 #: The rules of the registered query.
 RULES = [urls.Rule("block", "com", "/en/"), urls.Rule("allow", "example.com", "/en/7"), urls.Rule("allow", "net", "/de/"), urls.Rule("block", "example.net", "/de/8"), urls.Rule("block", "org", "/es/")]
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_binary_codes": op2_binary_codes,
     "op3_token_file": op3_token_file,
+    "op4_suffixes": op4_suffixes,
     "op5_redirects": op5_redirects,
     "op6_packing": op6_packing,
     "op7_bm25_leaks": op7_bm25_leaks,
