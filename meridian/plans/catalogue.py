@@ -2,7 +2,5 @@
 
 from __future__ import annotations
 
-from . import planar_queries
-
-QUERIES = {**planar_queries.QUERIES}
-ORACLE = {**planar_queries.ORACLE}
+from . import crs_queries as _crs  # noqa: F401  registers
+from .planar_queries import ORACLE, QUERIES  # noqa: F401
