@@ -127,9 +127,11 @@ def _firsts(key: np.ndarray, row: np.ndarray, p: np.ndarray) -> tuple[np.ndarray
 
 def _deal(kind: int, records: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Records by part, as columns one after another (which compress better than rows)."""
+    if not len(part):
+        return
     order = np.argsort(part, kind="stable")
     records, part = records[order], part[order]
-    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else part
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     for a, b in zip(cuts, np.append(cuts[1:], len(part)), strict=True):
         yield (kind << 40) | int(part[a]), _pack(records[a:b])
 
