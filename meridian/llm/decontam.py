@@ -122,7 +122,7 @@ def search(index: Index, texts: list[list[bytes]], min_score: float, min_overlap
     for k, b in zip(*np.nonzero(bounds >= floor), strict=True):
         lo, hi = at[high[k]], ends[high[k]]
         scores = index.impacts[word[lo:hi], b * BLOCK : (b + 1) * BLOCK].sum(0, dtype=np.float64)
-        for j in np.flatnonzero(scores >= floor):
+        for j in np.flatnonzero(np.round(scores, 6) >= min_score):
             col = int(b * BLOCK + j)
             doc = int(np.searchsorted(first, window[lo], side="right") - 1)
             if col >= len(index.item_ids) or ((doc, col) in found and found[doc, col][0] >= round(float(scores[j]), 6)):
