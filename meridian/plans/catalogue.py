@@ -4,4 +4,5 @@ from __future__ import annotations
 
 from . import crs_queries as _crs  # noqa: F401  registers
 from . import grid_queries as _grid  # noqa: F401
+from . import format_queries as _format  # noqa: F401
 from .planar_queries import ORACLE, QUERIES  # noqa: F401
