@@ -9,9 +9,10 @@ register's (early termination), so long documents cost little more than one arri
 Documents with the same shingles and weights are one class.  Classes that agree in all registers of
 a band share a bucket.  Each member of a bucket is held against the bucket's first, by the exact
 Jaccard similarity of the shingle sets, and what reaches ``threshold`` is linked.  Buckets whose
-members then lie in different components are searched for pairs across components whose sketches
-come near the threshold, and those are verified too: pairs inside a component needn't be, so the
-work in a large group of copies grows with its members, not with their pairs.
+members then lie in different components are searched, by their sketches, for pairs across
+components that come near the threshold.  The members of such pairs get their shingle sets, and the
+pairs are verified inside the bucket, the likeliest first, until they lie in one component.  So no
+pair is sent anywhere, and pairs inside a component are never looked at.
 
 Classes are named by 64-bit hashes.  Documents without words (null, empty, white space) link with
 nothing and are kept.
@@ -37,7 +38,7 @@ ROWS = 5
 #: Estimates this far under the threshold are still verified: over four standard deviations.
 MARGIN = 0.15
 #: Members of a bucket that are compared with one another in one piece of work.
-BLOCK = 1024
+BLOCK = 512
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,13 +105,19 @@ def _sketch(size: int, registers: int, incoming: Iterator[pa.RecordBatch]) -> It
             )
 
 
+def _keys(held: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key for every band of every sketch."""
+    keys = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(held), 1))
+    for r in range(rows):
+        keys = hashing.mix(keys * _GOLDEN + held[:, r : bands * rows : rows].astype(np.uint64))
+    return keys
+
+
 def _bands(bands: int, rows: int, incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in incoming:
         if batch.num_rows:
-            held = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, -1).astype(np.uint64)
-            keys = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (batch.num_rows, 1))
-            for r in range(rows):
-                keys = hashing.mix(keys * _GOLDEN + held[:, r : bands * rows : rows])
+            held = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
+            keys = _keys(held, bands, rows)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), bands))], ["k", "c"])
 
 
@@ -123,13 +130,17 @@ def _sets(size: int, incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array([shingle[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())], ["c", "set"])
 
 
+def _similar(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    """Exact Jaccard similarity of two sorted sets against the threshold."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= threshold * (len(both) - common)
+
+
 def _verify(threshold: float, incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in incoming:
-        good = []
-        for a, b in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-            common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-            good.append(common >= threshold * (len(x) + len(y) - common))
+        good = [_similar(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), threshold) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
 
@@ -159,27 +170,62 @@ def by_key(function: Callable[[pa.Table], pa.RecordBatch | None]) -> Callable:
     return run
 
 
-def _across(floor: float, ratio: float, group: pa.Table) -> pa.RecordBatch | None:
-    """(g, k block i, k block j, side, c, m, component, n, s): pairs across components that may reach the threshold."""
-    g = group.combine_chunks()
-    side, c, m, comp, n = (g.column(x).to_numpy() for x in ("side", "c", "m", "comp", "n"))
+def _candidates(floor: float, ratio: float, bands: int, rows: int, g: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a bucket, or of two of its blocks, that lie in different components and may reach the threshold, with estimates.
+
+    A pair is a candidate in the first band it shares only, and not if it was held against the bucket's first before.
+    """
+    key, side, c, m, comp, n = (g.column(x).to_numpy() for x in ("k", "side", "c", "m", "comp", "n"))
     held = np.frombuffer(b"".join(g.column("s").to_pylist()), np.uint32).reshape(len(c), -1)
-    left, right = np.flatnonzero(side <= 0), np.flatnonzero(side != 0) if (side != 0).any() else np.flatnonzero(side == 0)
-    same = not (side != 0).any()
-    us, vs = [], []
-    for p, i in enumerate(left):
-        js = right[p + 1 :] if same else right
+    band = int(np.flatnonzero(_keys(held[:1], bands, rows)[0].view(np.int64) == key[0])[0])
+    blocks = (side != 0).any()
+    us, vs, es = [], [], []
+    for i in np.flatnonzero(side < 0) if blocks else range(len(c)):
+        js = np.flatnonzero(side > 0) if blocks else np.arange(i + 1, len(c))
         js = js[(comp[js] != comp[i]) & (c[js] != m[js]) & (c[i] != m[i])]
+        js = js[np.minimum(n[js], n[i]) >= ratio * np.maximum(n[js], n[i])]
         if len(js):
-            js = js[np.minimum(n[js], n[i]) >= ratio * np.maximum(n[js], n[i])]
-        if len(js):
-            js = js[(held[js] == held[i]).mean(1) >= floor]
-            us.append(np.full(len(js), c[i]))
-            vs.append(c[js])
-    if not us:
-        return None
-    u, v = np.concatenate(us), np.concatenate(vs)
-    return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+            equal = held[js] == held[i]
+            estimate = equal.mean(1)
+            fine = (estimate >= floor) & ~equal[:, : band * rows].reshape(len(js), band, rows).all(2).any(1)
+            us.append(np.full(int(fine.sum()), i))
+            vs.append(js[fine])
+            es.append(estimate[fine])
+    none = np.empty(0, np.int64)
+    return (np.concatenate(us), np.concatenate(vs), np.concatenate(es)) if us else (none, none, none)
+
+
+def _open(floor: float, ratio: float, bands: int, rows: int, group: pa.Table) -> pa.RecordBatch | None:
+    """The members of a bucket that are in some candidate pair."""
+    g = group.combine_chunks()
+    u, v, _ = _candidates(floor, ratio, bands, rows, g)
+    return g.take(pa.array(np.unique(np.concatenate([u, v])))).combine_chunks().to_batches()[0] if len(u) else None
+
+
+def _settle(threshold: float, floor: float, bands: int, rows: int, group: pa.Table) -> pa.RecordBatch | None:
+    """Links across components among members that come with their shingle sets, the likeliest pairs first.
+
+    Pairs whose components a link has joined meanwhile needn't be looked at.
+    """
+    g = group.combine_chunks()
+    u, v, e = _candidates(floor, threshold, bands, rows, g)
+    c, comp = g.column("c").to_numpy(), g.column("comp").to_pylist()
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in g.column("set")]
+    joined: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := joined.get(x, x)) != x:
+            joined[x] = x = joined.get(up, up)
+        return x
+
+    links = []
+    for k in np.lexsort((c[v], c[u], -e)):
+        i, j = int(u[k]), int(v[k])
+        a, b = root(comp[i]), root(comp[j])
+        if a != b and _similar(sets[i], sets[j], threshold):
+            joined[max(a, b)] = min(a, b)
+            links.append((int(max(c[i], c[j])), int(min(c[i], c[j]))))
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["u", "v"]) if links else None
 
 
 def classes(work: Work, docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, margin: float = MARGIN, block: int = BLOCK) -> DataFrame:
@@ -207,16 +253,19 @@ def classes(work: Work, docs: DataFrame, threshold: float = THRESHOLD, shingle:
     placed = members.join(found, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     # a bucket's first has no row in ``found`` if it is the smallest of its component
     mixed = placed.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("size").alias("size")).where("lo <> hi and size > 2").select("k")
-    placed = work.write(placed.join(mixed, "k").join(reps, "c").select("k", "c", "m", "comp", "n", "s", "size"), "mixed")
+    placed = placed.join(mixed, "k").join(reps, "c").select("k", "c", "m", "comp", "n", "s", "size")
     blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("c"), blocks).cast("int")
-    dealt = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = placed.withColumn("own", F.pmod(F.xxhash64("c"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     i, j = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(i == j, 0).when(F.col("own") == i, -1).otherwise(1)
-    dealt = dealt.select(F.xxhash64("k", i, j).alias("g"), side.alias("side"), "c", "m", "comp", "n", "s")
-    across = dealt.repartition("g").sortWithinPartitions("g").mapInArrow(by_key(functools.partial(_across, threshold - margin, threshold)), "u long, v long")
-    more = work.write(verified(across.distinct()), "links")
-    work.drop(placed, sets, members)
+    dealt = dealt.select(F.xxhash64("k", i, j).alias("g"), "k", side.alias("side"), "c", "m", "comp", "n", "s")
+    options = (threshold - margin, threshold, bands, rows)
+    asked = dealt.repartition("g").sortWithinPartitions("g").mapInArrow(by_key(functools.partial(_open, *options)), dealt.schema)
+    asked = work.write(asked, "open")
+    full = asked.join(sets, "c").select(*asked.columns, "set")
+    more = full.repartition("g").sortWithinPartitions("g").mapInArrow(by_key(functools.partial(_settle, threshold, threshold - margin, bands, rows)), "u long, v long")
+    more = work.write(more, "links")
+    work.drop(asked, sets, members)
     if not more.isEmpty():
         found = components(work, links.unionByName(more)).select(F.col("node").alias("c"), F.col("component").alias("comp"))
     return sketched.select("_row", "c").join(found, "c", "left").select("_row", F.coalesce("comp", "c").alias("g"))
