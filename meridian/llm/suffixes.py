@@ -41,8 +41,8 @@ from .neardup import by_key
 
 LENGTH = 100
 #: Bytes of text a bucket stands for, and a task holds before it deals out.
-BUCKET_BYTES = 16 << 20
-FLUSH_BYTES = 32 << 20
+BUCKET_BYTES = 8 << 20
+FLUSH_BYTES = 8 << 20
 #: Different runs of one leading gram that a task sends to a bucket.
 FEW = 6
 #: Bits of a position in a chunk of text.
@@ -299,7 +299,7 @@ def _answer(length: int, parts: int, docs: pa.Table, asks: pa.Table) -> pa.Table
             base = int(k) * hashing.CHUNK
             spots.append(_strings(data[base : base + hashing.CHUNK + 4 * length], mine["row"][some], np.full(some.sum(), base), a[some] - base, b[some] - base, length))
             made += len(spots[-1])
-        if made > 2_000_000:
+        if made > 500_000:
             out += list(_settle(spots, parts, length))
             spots, made = [], 0
     out += list(_settle(spots, parts, length))
