@@ -1,11 +1,13 @@
-"""Line dedup: repeated runs of lines, by prefix doubling over line ids.
-
-A document is the sequence of its non-blank lines; a line's id is a 128-bit hash of its text.  The
-rank of a run of ``2k`` lines is the pair of the ranks of its halves, as in the prefix doubling of a
-suffix array; equal ranks are equal runs, so no global sort is needed to name them.  Round by round
-(runs of 1, 2, 4 ... ``max_run`` lines) the runs that occur more than once are kept, and those whose
-text is at least ``min_chars`` long are deleted wherever they start later (larger doc_id, or same
-document, later line) than their first occurrence.  Overlapping deleted runs join into the maximal
+"""Line dedup: repeated runs of lines of every length, by windows of line ids.
+
+A document is the sequence of its non-blank lines; a line's id is a 128-bit hash of its text.  A run
+of at least ``min_chars`` characters that also starts earlier (smaller doc_id, or same document,
+earlier line) is deleted, however many lines it has.  All of its parts start earlier as well, so it
+is enough to look at windows: the shortest run of ``min_chars`` characters from each line on, and the
+shortest one up to each line.  Inside a run, the windows from its lines on cover everything up to the
+start of the window that ends with the run, and that window covers the rest.  Which windows a run has
+depends on its own lines only, so equal runs have equal windows, and there are two for a line at most,
+of no more than ``min_chars / 2 + 1`` lines.  Overlapping deleted windows join into the maximal
 repeated runs; ``n_runs`` counts those.
 
 DataFrame operations only.  A first occurrence is found by an aggregation that combines before its
@@ -25,7 +27,6 @@ from pyspark.sql import functions as F
 from .common import Work
 
 MIN_CHARS = 40
-MAX_RUN = 4
 
 
 def _ranks(lines: Column) -> Column:
@@ -33,43 +34,61 @@ def _ranks(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(17), x, F.length(x)).alias("g"), F.length(x).cast("long").alias("n")))
 
 
-def _double(ranks: Column, half: int) -> Column:
-    """Ranks of runs twice as long."""
-    last = F.size(ranks) - half
-    pairs = F.arrays_zip(F.slice(ranks, 1, F.greatest(last, F.lit(0))).alias("a"), F.slice(ranks, half + 1, F.greatest(last, F.lit(0))).alias("b"))
-    joined = F.transform(
-        pairs,
-        lambda p: F.struct(
-            F.xxhash64(p["a"]["h"], p["b"]["h"]).alias("h"),
-            F.xxhash64(F.lit(17), p["a"]["g"], p["b"]["g"]).alias("g"),
-            (p["a"]["n"] + p["b"]["n"] + 1).alias("n"),
-        ),
-    )
-    return F.when(last > 0, joined).otherwise(F.slice(ranks, 1, 0))
+def _window(ranks: Column, x: Column, i: Column, min_chars: int, most: int, back: bool) -> Column:
+    """The shortest run of ``min_chars`` characters from line ``i`` on, or up to it, with its characters without its last line."""
+    if back:
+        others = F.reverse(F.slice(ranks, F.greatest(i - most + 2, F.lit(1)), F.least(i, F.lit(most - 1))))
+    else:
+        others = F.slice(ranks, i + 2, most - 1)
+    state = lambda at, k, n, less: F.struct(at.cast("int").alias("i"), k.cast("int").alias("k"), n.alias("n"), less.alias("less"))
 
+    def longer(w: Column, y: Column) -> Column:
+        n = w["n"] + y["n"] + 1
+        return F.when(w["n"] >= min_chars, w).otherwise(state(w["i"] - 1, w["k"] + 1, n, n - x["n"] - 1) if back else state(w["i"], w["k"] + 1, n, w["n"]))
 
-def _numbered(ranks: Column, k: int) -> Column:
-    return F.transform(ranks, lambda x, i: F.struct(F.lit(k).alias("k"), i.cast("int").alias("i"), x["h"].alias("h"), x["g"].alias("g"), x["n"].alias("n")))
+    one = state(i, F.lit(1), x["n"], F.lit(0).cast("long"))
+    return F.when(x["n"] >= min_chars, one).otherwise(F.aggregate(others, one, longer))
 
 
-def removals(work: Work, docs: DataFrame, min_chars: int = MIN_CHARS, max_run: int = MAX_RUN) -> DataFrame:
+def _named(ranks: Column, w: Column) -> Column:
+    """A window as (k, i, h, g): lines, first line, two hashes of its text."""
+    first, rest = F.get(ranks, w["i"]), F.slice(ranks, w["i"] + 2, w["k"] - 1)
+    chain = lambda name, seed: F.when(w["k"] == 1, first[name]).otherwise(F.aggregate(rest, first[name], lambda a, y: F.xxhash64(F.lit(seed), a, y[name])))
+    return F.struct(w["k"].alias("k"), w["i"].alias("i"), chain("h", 1).alias("h"), chain("g", 17).alias("g"))
+
+
+def _windows(ranks: Column, min_chars: int) -> Column:
+    """The windows of a document, each once."""
+    most = max(1, min_chars // 2 + 1)  # a line has a character at least, and one between it and the next
+    ahead = F.filter(F.transform(ranks, lambda x, i: _window(ranks, x, i, min_chars, most, False)), lambda w: w["n"] >= min_chars)
+    # a window up to a line that is long enough without that line is no window from its first line on
+    behind = F.filter(F.transform(ranks, lambda x, i: _window(ranks, x, i, min_chars, most, True)), lambda w: (w["n"] >= min_chars) & (w["less"] >= min_chars))
+    return F.transform(F.concat(ahead, behind), lambda w: _named(ranks, w))
+
+
+def _covered(windows: Column) -> Column:
+    """The sorted numbers of lines in (i, k) windows of a document; sorted by start, they are sorted by end too."""
+
+    def own(w: Column, j: Column) -> Column:
+        before = F.get(windows, j - 1)
+        start, last = F.greatest(w["i"], F.when(j > 0, before["i"] + before["k"]).otherwise(F.lit(0))), w["i"] + w["k"] - 1
+        return F.when(start <= last, F.sequence(start, last)).otherwise(F.array().cast("array<int>"))
+
+    return F.flatten(F.transform(windows, own))
+
+
+def removals(work: Work, docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(``_row``, ``_doc``, ``_at``: the sorted numbers of lines to delete, among the non-blank ones, from 0)."""
-    runs, half, levels = docs.withColumn("_r1", _ranks(F.col("_lines"))), 1, []
-    while half <= max_run:
-        levels.append(half)
-        runs = runs.withColumn(f"_r{2 * half}", _double(F.col(f"_r{half}"), half)) if 2 * half <= max_run else runs
-        half *= 2
-    named = [_numbered(F.col(f"_r{k}"), k) for k in levels]
-    found = runs.select("_doc", "_row", F.explode(F.filter(F.concat(*named), lambda x: x["n"] >= min_chars)).alias("p")).select("_doc", "_row", "p.k", "p.i", "p.h", "p.g")
+    found = docs.select("_doc", "_row", F.explode(_let(_ranks(F.col("_lines")), lambda ranks: _windows(ranks, min_chars))).alias("p")).select("_doc", "_row", "p.k", "p.i", "p.h", "p.g")
     found = work.write(found, "runs")
     place = F.struct("_doc", "_row", "i")
     first = found.groupBy("k", "h", "g").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     later = found.join(first, ["k", "h", "g"]).where(place > F.col("first"))
-    cover = later.select("_doc", "_row", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("k") - 1)).alias("at"))
-    return cover.groupBy("_doc", "_row").agg(F.sort_array(F.collect_set("at")).alias("_at"))  # no more than a document's lines
+    gone = later.groupBy("_doc", "_row").agg(F.sort_array(F.collect_list(F.struct("i", "k"))).alias("_w"))  # two for a line at most
+    return gone.select("_doc", "_row", _covered(F.col("_w")).alias("_at"))
 
 
-def dedup(work: Work, docs: DataFrame, min_chars: int = MIN_CHARS, max_run: int = MAX_RUN) -> DataFrame:
+def dedup(work: Work, docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """All rows and columns of ``docs``, with ``text`` less its deleted lines, ``n_lines``, ``n_removed`` and ``n_runs``.
 
     ``n_lines`` counts non-blank lines.  Columns of those names that ``docs`` has are replaced.
@@ -84,7 +103,7 @@ def dedup(work: Work, docs: DataFrame, min_chars: int = MIN_CHARS, max_run: int
     if not twins.isEmpty():  # equal rows are told apart by a number, in a table that stays as it is
         base = work.write(base.withColumn("_row", F.monotonically_increasing_id()), "rows")
     lines = base.where("text is not null").select("_doc", "_row", F.filter(all_lines, lambda x: ~blank(x)).alias("_lines"))
-    gone = removals(work, lines, min_chars, max_run)
+    gone = removals(work, lines, min_chars)
     out = base.join(gone.withColumnRenamed("_doc", "_d").withColumnRenamed("_row", "_w"), F.expr("_doc <=> _d") & (F.col("_row") == F.col("_w")), "left").drop("_d", "_w")
     out = out.withColumn("_d", _delete(F.coalesce("text", F.lit("")), F.coalesce("_at", F.array().cast("array<int>"))))
     keep = [F.when(F.col("_d.removed") > 0, F.col("_d.text")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in names]
