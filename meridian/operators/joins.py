@@ -74,6 +74,28 @@ def polygon_intersection_join(left: DataFrame, right: DataFrame, size: float | N
     return pairs.where(planar.polygons_intersect(F.col("polygon_l"), F.col("polygon_r"))).select(left_id, right_id)
 
 
+def line_polygon_join(lines: DataFrame, polygons: DataFrame, size: float | None = None, line_id: str = "line_id", polygon_id: str = "zone_id") -> DataFrame:
+    """(line, polygon) ids of lines that have a vertex in a polygon or a segment that meets one of its rings, each pair once.
+
+    Segments cover cells, not whole lines.  A pair is tested in the cell that holds the lower left
+    corner of the common part of the segment's and the polygon's boxes only.
+    """
+    boxed = with_box(polygons.select(polygon_id, "polygon"))
+    size = size or cell_size(boxed)
+    vertices = lines.select(line_id, F.inline("line")).select(line_id, "x", "y")
+    inside = spatial_join(vertices, polygons, size, line_id, polygon_id)
+    names = ("xmin", "ymin", "xmax", "ymax")
+    parts = lines.select(line_id, F.explode(planar.segments(F.col("line"))).alias("_s"))
+    low, high = lambda v: F.least(f"_s.{v}1", f"_s.{v}2"), lambda v: F.greatest(f"_s.{v}1", f"_s.{v}2")
+    parts = cover(parts.withColumns({"xmin": low("x"), "ymin": low("y"), "xmax": high("x"), "ymax": high("y")}), size).withColumnsRenamed({c: f"{c}_l" for c in names})
+    zones = cover(boxed, size).withColumnsRenamed({c: f"{c}_r" for c in names})
+    corner = (F.col("_cx") == _cell(F.greatest("xmin_l", "xmin_r"), size)) & (F.col("_cy") == _cell(F.greatest("ymin_l", "ymin_r"), size))
+    meet = (F.col("xmin_l") <= F.col("xmax_r")) & (F.col("xmin_r") <= F.col("xmax_l")) & (F.col("ymin_l") <= F.col("ymax_r")) & (F.col("ymin_r") <= F.col("ymax_l"))
+    pairs = parts.join(zones, ["_cx", "_cy"]).where(corner & meet)
+    crossing = pairs.where(planar.any_segments_meet(F.array("_s"), F.flatten(F.transform("polygon", planar.edges)))).select(line_id, polygon_id)
+    return inside.unionByName(crossing).distinct()
+
+
 def nearest_polygon_join(points: DataFrame, polygons: DataFrame, size: float | None = None, point_id: str = "point_id", polygon_id: str = "zone_id", rings: int = 24) -> DataFrame:
     """For each point the polygon at the smallest distance (0 inside) and that distance; the lowest id wins ties.
 

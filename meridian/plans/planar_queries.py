@@ -109,14 +109,13 @@ d AS (SELECT q.point_id, e.zone_id, min(sqrt((q.x - (e.x1 + t*(e.x2-e.x1)))*(q.x
 
 @query("nearest_zone", f"WITH {DIST}, f AS (SELECT d.point_id, d.zone_id, CASE WHEN i.zone_id IS NULL THEN d.d ELSE 0 END AS d FROM d LEFT JOIN inside i ON i.point_id = d.point_id AND i.zone_id = d.zone_id), o AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY round(d, 9), zone_id) AS n FROM f) SELECT point_id, round(d, 6) AS distance FROM o WHERE n = 1")
 def nearest_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = joins.nearest_polygon_join(view(spark, sf_dir, "pts").where("point_id % 10 = 0"), polygons(spark, sf_dir), SIZE)
+    found = joins.nearest_polygon_join(view(spark, sf_dir, "pts"), polygons(spark, sf_dir), SIZE)
     return found.select("point_id", r(F.col("distance")).alias("distance"))
 
 
 @query("point_polygon_distance", f"WITH {DIST} SELECT d.point_id, d.zone_id, round(CASE WHEN i.zone_id IS NULL THEN d.d ELSE 0 END, 6) AS distance FROM d LEFT JOIN inside i ON i.point_id = d.point_id AND i.zone_id = d.zone_id WHERE d.point_id % 100 = 0")
 def point_polygon_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = view(spark, sf_dir, "pts").where("point_id % 100 = 0")
-    pairs = points.join(polygons(spark, sf_dir))  # a stated set of points against every zone
+    pairs = view(spark, sf_dir, "pts").crossJoin(polygons(spark, sf_dir))  # the result is the distance of every pair
     return pairs.select("point_id", "zone_id", r(P.distance_to_polygon(F.col("x"), F.col("y"), F.col("polygon"))).alias("distance"))
 
 
@@ -126,7 +125,7 @@ def nearest_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     zones = view(spark, sf_dir, "zones")
     boxes = zones.select("zone_id", (F.col("cx") - F.col("h")).alias("xmin"), (F.col("cy") - F.col("h")).alias("ymin"), (F.col("cx") + F.col("h")).alias("xmax"), (F.col("cy") + F.col("h")).alias("ymax"))
-    probes = zones.where("zone_id % 5 = 0").select(F.col("zone_id").alias("probe"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+    probes = zones.select(F.col("zone_id").alias("probe"), F.col("cx").alias("x"), F.col("cy").alias("y"))
     return nearest_boxes(probes, boxes, 5).select("probe", "zone_id", r(F.col("d")).alias("d"), "rank")
 
 
@@ -252,13 +251,11 @@ def segment_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("linestrings_intersect", f"WITH {SEGS}, s AS (SELECT * FROM g WHERE x2 IS NOT NULL), m AS (SELECT DISTINCT a.line_id FROM s a JOIN s b ON b.line_id = a.line_id + 1 WHERE ((b.x1-a.x1)*(b.y2-b.y1)-(b.y1-a.y1)*(b.x2-b.x1)) / nullif((a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1), 0) BETWEEN 0 AND 1 AND ((b.x1-a.x1)*(a.y2-a.y1)-(b.y1-a.y1)*(a.x2-a.x1)) / nullif((a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1), 0) BETWEEN 0 AND 1) SELECT line_id FROM m WHERE line_id % 5 = 0")
 def linestrings_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = lines(spark, sf_dir).where("line_id % 5 = 0")
+    a = lines(spark, sf_dir)
     b = lines(spark, sf_dir).select((F.col("line_id") - 1).alias("line_id"), F.col("line").alias("other"))
     return a.join(b, "line_id").where(P.lines_intersect(F.col("line"), F.col("other"))).select("line_id")
 
 
 @query("line_intersects_polygon", f"WITH {SEGS}, s AS (SELECT * FROM g WHERE x2 IS NOT NULL AND line_id % 50 = 0), m AS (SELECT DISTINCT a.line_id, b.zone_id FROM s a JOIN zone_edges b ON true WHERE ((b.x1-a.x1)*(b.y2-b.y1)-(b.y1-a.y1)*(b.x2-b.x1)) / nullif((a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1), 0) BETWEEN 0 AND 1 AND ((b.x1-a.x1)*(a.y2-a.y1)-(b.y1-a.y1)*(a.x2-a.x1)) / nullif((a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1), 0) BETWEEN 0 AND 1 UNION SELECT DISTINCT l.line_id, i.zone_id FROM line_pts l JOIN inside i ON i.point_id = l.k WHERE l.line_id % 50 = 0) SELECT line_id, zone_id FROM m")
 def line_intersects_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = lines(spark, sf_dir).where("line_id % 50 = 0").withColumn("lb", P.bbox(F.col("line")))
-    pairs = some.join(joins.with_box(polygons(spark, sf_dir)), (F.col("lb.xmin") <= F.col("xmax")) & (F.col("xmin") <= F.col("lb.xmax")) & (F.col("lb.ymin") <= F.col("ymax")) & (F.col("ymin") <= F.col("lb.ymax")))
-    return pairs.where(P.line_intersects_polygon(F.col("line"), F.col("polygon"))).select("line_id", "zone_id")
+    return joins.line_polygon_join(lines(spark, sf_dir), polygons(spark, sf_dir), SIZE)
