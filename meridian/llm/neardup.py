@@ -1,12 +1,13 @@
-"""MinHash near-dedup of weighted word shingles: ProbMinHash sketches, banding, verification.
+"""MinHash near-dedup of word shingles: ProbMinHash sketches, banding, verification.
 
-A document is its set of five-word shingles, each weighted by ``1 + ln(occurrences)``.  A shingle's
-arrivals form a Poisson process with its weight as rate; every arrival goes to a random register,
-and a register holds the shingle that came first.  Registers of two documents agree with their
-probability Jaccard similarity.  A process is cut off once its next arrival comes later than every
+A document is its set of five-word shingles, all of weight 1 however often they occur, as pairs are
+decided by the Jaccard similarity of the sets.  A shingle's arrivals form a Poisson process with its
+weight as rate; every arrival goes to a random register, and a register holds the shingle that came
+first.  Registers of two documents agree with their probability Jaccard similarity, which with equal
+weights is the Jaccard similarity of the sets.  A process is cut off once its next arrival comes later than every
 register's (early termination), so long documents cost little more than one arrival a shingle.
 
-Documents with the same shingles and weights are one class.  Classes that agree in all registers of
+Documents with the same shingles are one class.  Classes that agree in all registers of
 a band share a bucket.  Each member of a bucket is held against the bucket's first, by the exact
 Jaccard similarity of the shingle sets, and what reaches ``threshold`` is linked.  Buckets whose
 members then lie in different components are searched, by their sketches, for pairs across
@@ -93,11 +94,11 @@ def _sketch(size: int, registers: int, incoming: Iterator[pa.RecordBatch]) -> It
     """(_row, text) to (_row, c: name of the class, null without words; n: shingles; s: sketch)."""
     for batch in incoming:
         for start, texts in _pieces(batch, 1):
-            doc, shingle, counts = shingle_sets(texts, size)
-            held = sketches(doc, shingle, 1 + np.log(counts), len(texts), registers)
+            doc, shingle, _ = shingle_sets(texts, size)
+            held = sketches(doc, shingle, np.ones(len(doc)), len(texts), registers)
             n = np.bincount(doc, minlength=len(texts))
             sums = np.zeros(len(texts), np.uint64)
-            np.add.at(sums, doc, hashing.mix(hashing.mix(shingle) + counts.astype(np.uint64) * _GOLDEN))
+            np.add.at(sums, doc, hashing.mix(hashing.mix(shingle) + _GOLDEN))
             name = hashing.mix(sums + n.astype(np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(start, len(texts)), pa.array(name, mask=n == 0), pa.array(n), pa.array([h.tobytes() if k else None for h, k in zip(held, n, strict=True)], pa.binary())],
