@@ -112,15 +112,13 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, capaci
 
         held = 0
         for batch in incoming:
-            doc_ids = batch.column(0).to_pylist()
-            for k in range(0, batch.num_rows, 256):
-                for name, a in zip(doc_ids[k : k + 256], encoder.batch(batch.column(1).slice(k, 256).to_pylist()), strict=True):
-                    names.append(name)
-                    ids.append(np.append(a, np.array([end_id], a.dtype)))
-                    held += len(a) + 1
-                    if held >= window_tokens:
-                        yield flush()
-                        held = 0
+            for name, a in zip(batch.column(0).to_pylist(), encoder.each(batch.column(1)), strict=True):
+                names.append(name)
+                ids.append(np.append(a, np.array([end_id], a.dtype)))
+                held += len(a) + 1
+                if held >= window_tokens:
+                    yield flush()
+                    held = 0
         if names:
             yield flush()
 

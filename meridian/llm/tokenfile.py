@@ -3,8 +3,8 @@
 A *file* is a Parquet table of shards in ascending ``doc_id`` order (null ids first, then ties by
 text).  A shard's row holds its ids as one little-endian binary (16 bits an id if the vocabulary
 allows, else 32), and two Elias-Fano sequences: the boundaries of its documents in that array, and
-their doc_ids less the smallest.  Offsets are read through a select structure: a sampled position of
-every 256th one bit, then a popcount over the bytes from there.  Shards tell how many ids
+their doc_ids less the smallest, each with its select structure.  Readers get offsets and doc_ids
+from :meth:`EliasFano.select` alone.  Shards tell how many ids
 come before them in their partition; readers add the totals of earlier partitions.
 
 Documents are range-partitioned by doc_id once, and encoded behind that shuffle; shards have at
@@ -28,21 +28,23 @@ from . import tokens
 
 SHARD_TOKENS = 1 << 20
 SAMPLE = 256
+ENCODED_AT_ONCE = 1 << 14
 _POP = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 
 SHARD_SCHEMA = "part int, shard int, before long, n_docs long, n_ids long, id_bytes int, end_id int, n_null long, min_doc_id long, ids binary, bounds binary, doc_ids binary"
 
 
 class EliasFano:
-    """A non-decreasing sequence of non-negative integers in about ``2 + log2(u / n)`` bits each."""
+    """A non-decreasing sequence of non-negative integers in about ``2 + log2(u / n)`` bits each.
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
+    The low bits of all values lie one after another; the high parts are written in unary, value ``i``
+    as the one bit at ``(value >> low_bits) + i``.  The select structure holds, for every 256th one
+    bit, its byte and the ones before that byte; it is stored with the sequence.
+    """
+
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, sample_byte: np.ndarray, sample_ones: np.ndarray):
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        ones = np.concatenate([[0], np.cumsum(_POP[high], dtype=np.int64)])
-        #: the byte of the high part in which each sampled one bit lies, and the ones before that byte
-        ranks = np.arange(0, max(n, 1), SAMPLE)
-        self.sample_byte = np.maximum(np.searchsorted(ones, ranks, side="right") - 1, 0)
-        self.sample_ones = ones[self.sample_byte]
+        self.sample_byte, self.sample_ones = sample_byte, sample_ones
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
@@ -53,42 +55,46 @@ class EliasFano:
         high = np.zeros((n + (top >> low_bits) + 8) // 8, np.uint8)
         at = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         np.bitwise_or.at(high, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        bits = (values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)
-        low = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little")
-        return cls(n, low_bits, low, high)
+        low = []
+        for a in range(0, n, ENCODED_AT_ONCE):  # a multiple of 8 values ends with a whole byte
+            bits = (values[a : a + ENCODED_AT_ONCE, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)
+            low.append(np.packbits(bits.astype(np.uint8).ravel(), bitorder="little"))
+        sample_byte = at[::SAMPLE] >> 3
+        sample_ones = np.arange(0, n, SAMPLE) - _POP[high[sample_byte] & ((1 << (at[::SAMPLE] & 7)) - 1).astype(np.uint8)]
+        return cls(n, low_bits, np.concatenate(low) if low else np.empty(0, np.uint8), high, sample_byte.astype("<u4"), sample_ones.astype("<u4"))
 
     def to_bytes(self) -> bytes:
         head = np.array([self.n, self.low_bits, len(self.low), len(self.high)], "<u8")
-        return head.tobytes() + self.low.tobytes() + self.high.tobytes()
+        return head.tobytes() + self.sample_byte.tobytes() + self.sample_ones.tobytes() + self.low.tobytes() + self.high.tobytes()
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> EliasFano:
         n, low_bits, n_low, n_high = (int(x) for x in np.frombuffer(raw, "<u8", 4))
-        data = np.frombuffer(raw, np.uint8, offset=32)
-        return cls(n, low_bits, data[:n_low], data[n_low : n_low + n_high])
+        samples = -(-n // SAMPLE)
+        byte, ones = np.frombuffer(raw, "<u4", 2 * samples, 32).reshape(2, samples)
+        data = np.frombuffer(raw, np.uint8, offset=32 + 8 * samples)
+        return cls(n, low_bits, data[:n_low], data[n_low : n_low + n_high], byte, ones)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
-        if not self.low_bits:
-            return np.zeros(len(i), np.uint64)
-        at = i[:, None] * self.low_bits + np.arange(self.low_bits)
-        bits = (self.low[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-        return (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
-
-    def select(self, i: int) -> int:
-        """The i-th value, read from the nearest sample."""
-        byte, ones = int(self.sample_byte[i // SAMPLE]), int(self.sample_ones[i // SAMPLE])
-        while ones + int(_POP[self.high[byte]]) <= i:
-            ones += int(_POP[self.high[byte]])
-            byte += 1
-        bits = np.flatnonzero(np.unpackbits(self.high[byte : byte + 1], bitorder="little"))
-        position = byte * 8 + int(bits[i - ones])
-        return ((position - i) << self.low_bits) | int(self._low(np.array([i]))[0])
-
-    def all(self) -> np.ndarray:
-        """Every value, in order."""
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        i = np.arange(self.n)
-        return (((at - i).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)).astype(np.int64)
+        value = np.zeros(len(i), np.int64)
+        for b in range(self.low_bits):
+            at = i * self.low_bits + b
+            value |= ((self.low[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(np.int64) << b
+        return value
+
+    def select(self, i: np.ndarray) -> np.ndarray:
+        """The values numbered ``i`` (ascending): for each, the bytes from its sample on are searched for its one bit."""
+        i = np.asarray(i, np.int64)
+        position = np.empty(len(i), np.int64)
+        block = i // SAMPLE
+        cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(i) else i
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(i)], strict=True):
+            k = int(block[a])
+            first = int(self.sample_byte[k])
+            last = int(self.sample_byte[k + 1]) + 1 if k + 1 < len(self.sample_byte) else len(self.high)
+            ones = np.flatnonzero(np.unpackbits(self.high[first:last], bitorder="little"))
+            position[a:b] = first * 8 + ones[i[a:b] - int(self.sample_ones[k])]
+        return ((position - i) << self.low_bits) | self._low(i)
 
 
 def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 2, shard_tokens: int = SHARD_TOKENS, partitions: int | None = None) -> None:
@@ -118,15 +124,13 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types, strict=True)], [c.split()[0] for c in SHARD_SCHEMA.split(", ")])
 
         for batch in incoming:
-            doc_ids = batch.column(0).to_pylist()
-            for k in range(0, batch.num_rows, 256):
-                for name, a in zip(doc_ids[k : k + 256], encoder.batch(batch.column(1).slice(k, 256).to_pylist()), strict=True):
-                    if names and held + len(a) + 1 > shard_tokens:
-                        yield flush()
-                        held = 0
-                    names.append(name)
-                    ids.append(np.append(a, np.array([end_id], a.dtype)))
-                    held += len(a) + 1
+            for name, a in zip(batch.column(0).to_pylist(), encoder.each(batch.column(1)), strict=True):
+                if names and held + len(a) + 1 > shard_tokens:
+                    yield flush()
+                    held = 0
+                names.append(name)
+                ids.append(np.append(a, np.array([end_id], a.dtype)))
+                held += len(a) + 1
         if names:
             yield flush()
 
@@ -150,10 +154,11 @@ def _decode(base: dict[int, int], with_ids: bool, incoming: Iterator[pa.RecordBa
         for i in range(batch.num_rows):
             part, before, id_bytes, n_null, least, raw, bounds, doc_ids = (batch.column(c)[i].as_py() for c in range(8))
             ids = np.frombuffer(raw, f"<u{id_bytes}")
-            ends = EliasFano.from_bytes(bounds).all()
+            ef = EliasFano.from_bytes(bounds)
+            ends = ef.select(np.arange(ef.n))
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            known = EliasFano.from_bytes(doc_ids).all()
-            names = [None] * n_null + [int(k) + least for k in known]
+            ef = EliasFano.from_bytes(doc_ids)
+            names = [None] * n_null + [int(k) + least for k in ef.select(np.arange(ef.n))]
             crcs = [tokens.ids_crc32(ids[a:b]) for a, b in zip(starts, ends, strict=True)]
             columns = [pa.array(names, pa.int64()), pa.array(starts + base[part] + before), pa.array(ends - starts), pa.array(crcs, pa.int64())]
             if with_ids:

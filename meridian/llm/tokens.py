@@ -15,9 +15,13 @@ import functools
 import json
 import os
 import re
+import string
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks longer than this are encoded but not remembered.
 REMEMBERED_CHARS = 48
@@ -25,9 +29,15 @@ REMEMBERED_CHARS = 48
 REMEMBERED = 400_000
 #: Words that go to the library in one call.
 WORDS_A_CALL = 64
+#: Texts that are split together: at most so many, and so many bytes (a longer one goes alone).
+TEXTS_AT_ONCE = 4096
+BYTES_AT_ONCE = 4 << 20
 
 _UNSAFE = re.compile("[İΣ̀-ͯ҃-҉֑-ׇؐ-ًؚ-ٰٟ-ऀ़़়଼्্੍ۭ࠙-࠭-࡛᪰-᫿᷀-᷿⃐-⃿゙゚︠-︯]")
 _MIXED = re.compile(r"[.,][^\w\s]|[^\w\s][.,]|[.,]_|_[.,]")
+#: A text of these bytes without these pairs has no run of punctuation; of other texts _MIXED is asked.
+_PAIRS = ("..", ",,", ".,", ",.")
+_ORDINARY = (string.ascii_letters + string.digits + string.whitespace + ".,").encode()
 
 
 def default_path() -> str:
@@ -83,40 +93,47 @@ class ChunkEncoder:
         self.chunks.update((c, i) for c, i in found.items() if len(c) <= REMEMBERED_CHARS)
         return found
 
-    def _split(self, text: str) -> list[str] | None:
-        """The chunks of a text; None if the library must see it whole."""
+    def _spaced(self, text: str) -> str | None:
+        """A text whose chunks lie between single spaces; None if the library must see it whole."""
         if not self.by_chunk or (not text.isascii() and _UNSAFE.search(text)):
             return None
         if self.plain:
             text = text.lower()
-            if not _MIXED.search(text):
+            doubtful = text.encode().translate(None, _ORDINARY) or any(pair in text for pair in _PAIRS)
+            if not (doubtful and _MIXED.search(text)):
                 text = text.replace(",", " , ").replace(".", " . ")
-        return text.replace("\n", " ").split(" ")
-
-    def _one(self, chunk: str, fresh: dict[str, bytes]) -> bytes:
-        for known in (self.chunks, fresh, self.before):
-            if (raw := known.get(chunk)) is not None:
-                return raw
-        return self._each([chunk])[0]
+        return text.replace("\n", " ")
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [self._split(t or "") for t in texts]
-        missing: set[str] = set()
-        for chunks in split:
-            missing.update(chunks or ())
-        missing = {c for c in missing if c not in self.chunks}
-        fresh = self._learn(missing) if missing else {}
-        out: list[np.ndarray] = []
-        for text, chunks in zip(texts, split, strict=True):
-            if chunks is None:
-                raw = self._each([text])[0]
-            else:
-                try:
-                    raw = b"".join(map(self.chunks.__getitem__, chunks))
-                except KeyError:  # chunks too long to be remembered, or a memory just emptied
-                    raw = b"".join([self._one(c, fresh) for c in chunks])
-            out.append(np.frombuffer(raw, self.dtype))
-        return out
+        spaced = [self._spaced(t or "") for t in texts]
+        split = pc.split_pattern(pa.array([t for t in spaced if t is not None], pa.large_string()), " ")
+        chunks = split.values.dictionary_encode()
+        names = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = [self.chunks.get(c) for c in names]
+        missing = {c for c, raw in zip(names, known, strict=True) if raw is None}
+        if missing:
+            fresh = self._learn(missing)
+            known = [fresh[c] if raw is None else raw for c, raw in zip(names, known, strict=True)]
+        ids = np.frombuffer(b"".join(known), self.dtype)
+        size = np.fromiter(map(len, known), np.int64, len(known)) // ids.itemsize
+        first = np.cumsum(size) - size
+        code = chunks.indices.to_numpy()
+        n = size[code]
+        ends = np.cumsum(n)
+        of_all = ids[np.repeat(first[code] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy()].tolist()
+        pieces = iter([of_all[a:b] for a, b in zip(bounds, bounds[1:], strict=False)])
+        return [np.frombuffer(self._each([t])[0], self.dtype) if s is None else next(pieces) for t, s in zip(texts, spaced, strict=True)]
+
+    def each(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The id arrays of a column of texts, one after another."""
+        size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(column):
+            full = int(np.searchsorted(size, BYTES_AT_ONCE + (size[at - 1] if at else 0), side="right"))
+            end = min(len(column), at + TEXTS_AT_ONCE, max(at + 1, full))
+            yield from self.batch(column.slice(at, end - at).to_pylist())
+            at = end
 
 
 @functools.lru_cache(maxsize=2)
