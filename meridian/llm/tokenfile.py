@@ -71,7 +71,7 @@ class EliasFano:
     def from_bytes(cls, raw: bytes) -> EliasFano:
         n, low_bits, n_low, n_high = (int(x) for x in np.frombuffer(raw, "<u8", 4))
         samples = -(-n // SAMPLE)
-        byte, ones = np.frombuffer(raw, "<u4", 2 * samples, 32).reshape(2, samples)
+        byte, ones = np.frombuffer(raw[32 : 32 + 8 * samples], "<u4").reshape(2, samples)
         data = np.frombuffer(raw, np.uint8, offset=32 + 8 * samples)
         return cls(n, low_bits, data[:n_low], data[n_low : n_low + n_high], byte, ones)
 
