@@ -16,39 +16,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only if that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a session whose tasks run in its own process gets a temporary folder; others must set it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="meridian-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+#: While a table is written: shuffle files go as soon as it is complete, and Python gets whole texts in batches of few rows.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
 class Work:
-    """A folder for the written tables of one query.  A written table cuts lineage and outlives executors."""
+    """A folder for the written tables of one query.  A written table cuts lineage and outlives executors.
+
+    Tables that a result still reads stay until the session ends; :meth:`close` removes them earlier.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/meridian/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        path, system = self._file(self.path)
+        system.deleteOnExit(path)
+
+    def _file(self, name: str) -> tuple:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Writes ``df`` and reads it back; the plan before it, and its shuffle files, are released."""
         self.n += 1
         path = f"{self.path}/{self.n}-{name}"
-        schema = df.schema
-        df.write.option("compression", "zstd").parquet(path)
-        del df
-        self.spark._jvm.System.gc()  # shuffle files go when the driver's plan objects are collected
-        return self.spark.read.schema(schema).parquet(path)
+        before = {k: self.spark.conf.get(k) for k in WHILE_WRITING}
+        for k, v in WHILE_WRITING.items():
+            self.spark.conf.set(k, v)
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *frames: DataFrame) -> None:
         """Removes the files of written tables that nothing reads any more."""
         for df in frames:
             for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
                 if self.path.split("://")[-1].lstrip("/") in file:
-                    path = self.spark._jvm.org.apache.hadoop.fs.Path(file)
-                    path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+                    path, system = self._file(file)
+                    system.delete(path, True)
+
+    def close(self) -> None:
+        """Removes every table; frames that read them can't be used any more."""
+        path, system = self._file(self.path)
+        system.delete(path, True)
 
 
 def batches(function: Callable[[pa.RecordBatch], pa.RecordBatch | None], max_bytes: int = 8 << 20) -> Callable:
@@ -65,6 +92,11 @@ def batches(function: Callable[[pa.RecordBatch], pa.RecordBatch | None], max_byt
     return run
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """``own``: each row of ``docs`` as one struct, beside its ``doc_id`` and ``text``; no other column can clash with an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")).select("own", "own.doc_id", F.col("own.text").cast("string").alias("text"))
+
+
 def fold(id_column: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts`` (null ids: null)."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % parts
@@ -89,14 +121,16 @@ def components(work: Work, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that Spark can split the join at a node with many edges
+        low = work.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = work.write(large.where("u <> v").distinct(), "large")  # u > v from here on
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        work.drop(low)
+        low = work.write(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
         small = work.write(small.select("e.u", "e.v").where("u <> v").distinct(), "small")
         now = _mark(small)
-        work.drop(edges, large)
+        work.drop(edges, large, low)
         edges = small
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -107,9 +141,8 @@ def components(work: Work, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def with_rows(work: Work, docs: DataFrame, ordered: bool = False) -> DataFrame:
     """``docs`` with a unique long ``_row``: the doc_id where all are different and none is null, else a written number.
 
-    ``ordered``: in the order of doc_id (nulls first), then text.
+    ``ordered``: in the order of doc_id (nulls first), then text.  ``docs`` has no column of that name.
     """
-    docs = docs.drop("_row")
     doubtful = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
     if doubtful.isEmpty():
         return docs.withColumn("_row", F.col("doc_id").cast("long"))

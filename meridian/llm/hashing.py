@@ -11,19 +11,24 @@ _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes hashed at a time: arrays of eight bytes for each stay in cache or near it.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
+
+#: A second hash with another base and another table, for fingerprints of 128 bits.
+_BASES = (_BASE, np.uint64(0xC2B2AE3D27D4EB4F))
+_INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)
+_TABLES = (_TABLE, np.random.Generator(np.random.PCG64(20250307)).integers(0, 1 << 64, 256, dtype=np.uint64))
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i for i up to n."""
-    have = _powers.get(0)
+    have = _powers.get(which)
     if have is None or len(have[0]) <= n:
         size = max(n + 1, CHUNK + 4096)
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
+        up, down = np.full(size, _BASES[which], np.uint64), np.full(size, _INVERSES[which], np.uint64)
         up[0] = down[0] = 1
-        have = _powers[0] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
+        have = _powers[which] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
     return have
 
 
@@ -36,18 +41,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
+def prefix(data: np.ndarray, which: int = 0) -> np.ndarray:
     """Sums of table[byte] * base**i before each position; :func:`between` reads windows from them."""
-    up, _ = powers(len(data))
+    up, _ = powers(len(data), which)
     out = np.empty(len(data) + 1, np.uint64)
     out[0] = 0
-    np.cumsum(_TABLE[data] * up[: len(data)], dtype=np.uint64, out=out[1:])
+    np.cumsum(_TABLES[which][data] * up[: len(data)], dtype=np.uint64, out=out[1:])
     return out
 
 
-def between(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def between(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
     """Hashes of the windows [start, end), the same wherever a window stands."""
-    _, down = powers(len(sums))
+    _, down = powers(len(sums), which)
     return (sums[end] - sums[start]) * down[start]
 
 

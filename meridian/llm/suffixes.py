@@ -3,23 +3,27 @@
 A byte goes if a string of ``length`` bytes that covers it also starts earlier: in a document that
 comes before, or in the same document at an earlier place.  Strings are judged on the input.
 
-A suffix array of every byte needs many times the input on disk, so suffixes are sampled by content.
-Of the ``length + 1 - GRAM`` grams of GRAM bytes in a string, the one with the smallest hash (the
-leftmost of equals) is the string's anchor: equal strings have the same anchor at the same place.
-Consecutive strings with one anchor are a *run*, about 2 / (length - GRAM) runs a byte, and the
-suffixes that start at anchors are what is partitioned and sorted:
-
-1. Suffixes are range-partitioned by the fingerprint of their leading gram.  Splitters are even: a
-   fingerprint is uniform, so a sample would say the same, and equal fingerprints never lie on two
-   sides of a boundary, where they would have to be compared.
-2. A bucket sorts its suffixes by fingerprint of the whole run, then by place.  A run that equals an
-   earlier one is covered.  If runs with the same leading gram differ, those that come first are sent
-   back to their documents.
+A suffix array of every byte needs many times the input on disk (the README has the figures), so
+suffixes are sampled by content.  Of the ``length + 1 - GRAM`` grams of GRAM bytes in a string, the
+one with the smallest hash (the leftmost of equals) is the string's anchor: equal strings have the
+same anchor at the same place.  Consecutive strings with one anchor are a *run*, about
+2 / (length - GRAM) runs a byte, and the suffixes that start at anchors are partitioned and sorted:
+
+1. Suffixes are range-partitioned by the fingerprint of their leading gram.  Splitters are even, as a
+   fingerprint is uniform: a sample would say the same.  Suffixes with one leading gram never lie on
+   two sides of a boundary, so nothing is left to be compared across it.
+2. A bucket sorts its suffixes by the fingerprint of the whole run, then by place, by multikey
+   quicksort.  A run that equals an earlier one is covered.  If runs with the same leading gram
+   differ, those that come first are sent back to their documents.
 3. Only for these, the strings themselves are fingerprinted, partitioned and sorted in the same way.
 
 Before a partition step every task keeps the first of equal runs (strings) and settles the others by
 itself, and a leading gram with many different runs in one task skips step 2.  So a passage that a
-third of all documents share costs each task one row a bucket.  Fingerprints have 64 bits.
+third of all documents share costs each task one row a bucket.
+
+Fingerprints have 128 bits, two sums with independent bases and tables: for n = 4e12 runs (100 TB)
+the chance of any false match is about n**2 / 2**129, 2e-14; weak low bits of sums modulo 2**64 may
+cost some factors of two of that.
 
 Documents are ordered by doc_id (nulls first), equal ids by text.  Null texts are empty.
 """
@@ -41,16 +45,19 @@ from .neardup import by_key
 
 LENGTH = 100
 #: Bytes of text a bucket stands for, and a task holds before it deals out.
-BUCKET_BYTES = 8 << 20
-FLUSH_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
+FLUSH_BYTES = 4 << 20
+#: Fingerprints of single strings that a task holds before it deals out.
+STRINGS_AT_ONCE = 250_000
 #: Different runs of one leading gram that a task sends to a bucket.
 FEW = 6
 #: Bits of a position in a chunk of text.
 _BITS = np.uint64(20)
 _MASK = np.uint64((1 << 20) - 1)
 
-RUN = np.dtype([("f", "<u8"), ("h", "<u8"), ("row", "<i8"), ("p", "<u4"), ("n", "u1")])  # n: strings less 1; 255: gram known to have several runs
-SPOT = np.dtype([("g", "<u8"), ("row", "<i8"), ("p", "<u4")])
+# f, e: fingerprint of 128 bits; h: half of the gram's, of which the other half chose the bucket; n: strings less 1, 255: gram known to have several runs
+RUN = np.dtype([("f", "<u8"), ("e", "<u8"), ("h", "<u4"), ("row", "<i8"), ("p", "<u4"), ("n", "u1")])
+SPOT = np.dtype([("f", "<u8"), ("e", "<u8"), ("row", "<i8"), ("p", "<u4")])
 CUT = np.dtype([("row", "<i8"), ("a", "<u4"), ("b", "<u4")])
 SUFFIX, STRING, REMOVE, ASK = 0, 1, 2, 3
 DEALT = "key long, data binary"
@@ -71,11 +78,12 @@ def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(anchor, first string, last string, fingerprint of the gram, of the run) in texts that lie one after another up to ``ends``."""
+    """(anchor, first string, last string, fingerprint of the gram, two of the run) in texts that lie one after another up to ``ends``."""
     none = np.empty(0, np.int64)
+    nothing = (none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint64))
     gram = _gram(length)
     if len(data) < length:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return nothing
     sums = hashing.prefix(data)
     at = np.arange(len(data) - gram + 1)
     grams = hashing.mix(hashing.between(sums, at, at + gram))
@@ -83,13 +91,14 @@ def runs_of(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     left = np.repeat(ends, np.diff(np.concatenate([[0], ends])))[: len(low)] - np.arange(len(low))  # bytes to the text's end
     start = np.flatnonzero(left >= length)
     if not len(start):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return nothing
     anchor = low[start].astype(np.int64)
     cut = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     first, last = start[cut], start[np.append(cut[1:], len(start)) - 1]
     anchor = anchor[cut]
     whole = hashing.mix(hashing.between(sums, first, last + length) ^ hashing.mix(((anchor - first) * 256 + (last - first)).astype(np.uint64)))
-    return anchor, first, last, grams[anchor], whole
+    again = hashing.mix(hashing.between(hashing.prefix(data, 1), first, last + length, 1))
+    return anchor, first, last, grams[anchor], whole, again
 
 
 def _groups(rows: list[int], texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int]]:
@@ -118,11 +127,29 @@ def _groups(rows: list[int], texts: list[bytes]) -> Iterator[tuple[np.ndarray, n
         yield together()
 
 
-def _firsts(key: np.ndarray, row: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order by key and place, whether each in that order is the first of its key)."""
-    order = np.lexsort((p, row, key))
-    key = key[order]
-    return order, np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, bool)
+def multikey(columns: list[np.ndarray]) -> np.ndarray:
+    """The order by several columns, by multikey quicksort: only what ties on one column goes on to the next."""
+    order = np.argsort(columns[0], kind="quicksort")
+    tied = np.arange(len(order))  # places in ``order`` of what is still tied
+    group = np.zeros(len(order), np.int64)
+    for done, following in zip(columns, columns[1:], strict=False):
+        value = done[order[tied]]
+        fresh = np.concatenate([[True], (value[1:] != value[:-1]) | (group[1:] != group[:-1])]) if len(tied) else np.empty(0, bool)
+        alone = fresh & np.append(fresh[1:], True)
+        group = np.cumsum(fresh)[~alone]
+        tied = tied[~alone]
+        if not len(tied):
+            break
+        some = order[tied]
+        order[tied] = some[np.lexsort((following[some], group))]
+    return order
+
+
+def _firsts(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by fingerprint and place, whether each in that order is the first of its fingerprint)."""
+    order = multikey([records[c] for c in ("f", "e", "row", "p")])
+    f, e = records["f"][order], records["e"][order]
+    return order, np.concatenate([[True], (f[1:] != f[:-1]) | (e[1:] != e[:-1])]) if len(f) else np.empty(0, bool)
 
 
 def _deal(kind: int, records: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -179,7 +206,8 @@ def _strings(data: np.ndarray, row: np.ndarray, offset: np.ndarray, first: np.nd
     n = last - first + 1
     p = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     out = np.empty(len(p), SPOT)
-    out["g"] = hashing.mix(hashing.between(hashing.prefix(data), p, p + length))
+    for which, name in enumerate(("f", "e")):
+        out[name] = hashing.mix(hashing.between(hashing.prefix(data, which), p, p + length, which))
     out["row"], out["p"] = np.repeat(row, n), p + np.repeat(offset, n)
     return out
 
@@ -189,9 +217,9 @@ def _settle(spots: list[np.ndarray], parts: int, length: int) -> Iterator[tuple[
     if not spots:
         return
     s = np.concatenate(spots)
-    order, first = _firsts(s["g"], s["row"], s["p"])
+    order, first = _firsts(s)
     s = s[order]
-    yield from _deal(STRING, s[first], _bucket_of(s["g"][first], parts))
+    yield from _deal(STRING, s[first], _bucket_of(s["f"][first], parts))
     later = s[~first]
     yield from _cuts(later["row"], later["p"], later["p"].astype(np.int64) + length, parts)
 
@@ -207,42 +235,47 @@ def _sample(length: int, parts: int, incoming: Iterator[pa.RecordBatch]) -> Iter
     held = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        found, kept = [], []
+        found, kept, grams = [], [], []
         for data, ends, row, offset, lo, hi in _groups(rows, texts):
-            anchor, first, last, h, f = runs_of(data, ends, length)
+            anchor, first, last, h, f, e = runs_of(data, ends, length)
             doc = np.searchsorted(ends, anchor, side="right")
             want = (anchor >= lo) & (anchor < hi)
             begin = np.concatenate([[0], ends[:-1]])[doc]
             run = np.empty(int(want.sum()), RUN)
-            run["f"], run["h"], run["row"] = f[want], h[want], row[doc[want]]
+            run["f"], run["e"], run["h"], run["row"] = f[want], e[want], h[want] & np.uint64(0xFFFFFFFF), row[doc[want]]
             run["p"], run["n"] = (first - begin + offset[doc])[want], (last - first)[want]
             found.append(run)
+            grams.append(h[want])
             kept.append((data, first[want], (offset[doc] - begin)[want]))
         if not found:
             return
-        all_ = np.concatenate(found)
-        order, new = _firsts(all_["f"], all_["row"], all_["p"])
+        all_, gram = np.concatenate(found), np.concatenate(grams)
+        order, new = _firsts(all_)
         later = all_[order[~new]]
         yield _batch(list(_cuts(later["row"], later["p"], later["p"].astype(np.int64) + later["n"] + length, parts)))
         head = order[new]
         # leading grams with many runs here
-        hs = np.sort(all_["h"][head])
+        hs = np.sort(gram[head])
         cut = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]])) if len(hs) else np.empty(0, np.int64)
         many = hs[cut][np.diff(np.append(cut, len(hs))) > FEW]
-        crowded = np.isin(all_["h"][head], many) if len(many) else np.zeros(len(head), bool)
+        crowded = np.isin(gram[head], many) if len(many) else np.zeros(len(head), bool)
         marks = np.zeros(len(many), RUN)
-        marks["h"], marks["n"] = many, 255
+        marks["h"], marks["n"] = many & np.uint64(0xFFFFFFFF), 255
         few = np.concatenate([all_[head[~crowded]], marks])
-        yield _batch(list(_deal(SUFFIX, few, _bucket_of(few["h"], parts))))
+        yield _batch(list(_deal(SUFFIX, few, _bucket_of(np.concatenate([gram[head[~crowded]], many]), parts))))
         if crowded.any():
             flag = np.zeros(len(all_), bool)
             flag[head[crowded]] = True
-            spots, at = [], 0
+            spots, at, made = [], 0, 0
             for run, (data, first, shift) in zip(found, kept, strict=True):
                 mine = np.flatnonzero(flag[at : at + len(run)])
                 at += len(run)
                 if len(mine):
                     spots.append(_strings(data, run["row"][mine], shift[mine], first[mine], first[mine] + run["n"][mine], length))
+                    made += len(spots[-1])
+                if made > STRINGS_AT_ONCE:
+                    yield _batch(list(_settle(spots, parts, length)))
+                    spots, made = [], 0
             yield _batch(list(_settle(spots, parts, length)))
 
     for batch in incoming:
@@ -266,7 +299,7 @@ def _sort(length: int, parts: int, group: pa.Table) -> pa.RecordBatch | None:
         return group.combine_chunks().to_batches()[0]
     runs = _unpack(group.column(1).to_pylist(), RUN)
     marked, runs = runs["h"][runs["n"] == 255], runs[runs["n"] != 255]
-    order, new = _firsts(runs["f"], runs["row"], runs["p"])
+    order, new = _firsts(runs)
     later, firsts = runs[order[~new]], runs[order[new]]
     out = list(_cuts(later["row"], later["p"], later["p"].astype(np.int64) + later["n"] + length, parts))
     hs = np.sort(firsts["h"])
@@ -299,7 +332,7 @@ def _answer(length: int, parts: int, docs: pa.Table, asks: pa.Table) -> pa.Table
             base = int(k) * hashing.CHUNK
             spots.append(_strings(data[base : base + hashing.CHUNK + 4 * length], mine["row"][some], np.full(some.sum(), base), a[some] - base, b[some] - base, length))
             made += len(spots[-1])
-        if made > 500_000:
+        if made > STRINGS_AT_ONCE:
             out += list(_settle(spots, parts, length))
             spots, made = [], 0
     out += list(_settle(spots, parts, length))
@@ -310,7 +343,7 @@ def _sort_strings(length: int, parts: int, group: pa.Table) -> pa.RecordBatch |
     if group.column(0)[0].as_py() >> 40 != STRING:
         return group.combine_chunks().to_batches()[0]
     spots = _unpack(group.column(1).to_pylist(), SPOT)
-    order, first = _firsts(spots["g"], spots["row"], spots["p"])
+    order, first = _firsts(spots)
     later = spots[order[~first]]
     out = list(_cuts(later["row"], later["p"], later["p"].astype(np.int64) + length, parts))
     return _batch(out) if out else None
@@ -341,6 +374,11 @@ def _remove(with_text: bool, docs: pa.Table, cuts: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, t) for c, (_, t) in zip(columns, types, strict=False)], schema=pa.schema(types))
 
 
+def _placed(dealt: DataFrame, parts: int) -> DataFrame:
+    """Each part's records in a partition of its own, by kind."""
+    return dealt.repartitionById(parts, F.col("key").bitwiseAND((1 << 40) - 1).cast("int")).sortWithinPartitions("key")
+
+
 def _part_column(parts: int) -> Column:
     return F.pmod(F.col("_row").bitwiseXOR(F.shiftright("_row", 17)), F.lit(parts).cast("long"))
 
@@ -354,7 +392,7 @@ def dedup(work: Work, docs: DataFrame, length: int = LENGTH, bucket_bytes: int =
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(4, -(-total // bucket_bytes))
     dealt = rows.select("_row", "text").mapInArrow(functools.partial(_sample, length, parts), DEALT)
-    sorted_ = dealt.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(by_key(functools.partial(_sort, length, parts)), DEALT)
+    sorted_ = _placed(dealt, parts).mapInArrow(by_key(functools.partial(_sort, length, parts)), DEALT)
     found = work.write(sorted_, "sorted")
     kind = F.shiftright("key", 40)
     placed = rows.withColumn("part", _part_column(parts))
@@ -362,7 +400,7 @@ def dedup(work: Work, docs: DataFrame, length: int = LENGTH, bucket_bytes: int =
     asks = found.where(kind == ASK).select(part, "data")
     answered = placed.select("part", "_row", "text").groupBy("part").cogroup(asks.groupBy("part")).applyInArrow(functools.partial(_answer, length, parts), DEALT)
     strings = found.where(kind == STRING).unionByName(answered)
-    settled = strings.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(by_key(functools.partial(_sort_strings, length, parts)), DEALT)
+    settled = _placed(strings, parts).mapInArrow(by_key(functools.partial(_sort_strings, length, parts)), DEALT)
     settled = work.write(settled, "settled")
     cuts = found.where(kind == REMOVE).unionByName(settled.where(kind == REMOVE)).select(part, "data")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
