@@ -233,13 +233,30 @@ def test_url_verdicts_spread_over_redirects(spark):
     ]
     table = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(Work(spark, "t"), table, RULES).collect())
-    assert [(g[0], g[4]) for g in got] == [(1, "block"), (2, "block"), (3, "allow"), (4, "allow"), (5, "allow"), (6, "allow"), (7, "allow"), (8, "block"), (8, "block"), (9, "allow"), (10, "allow")]
+    assert [(g[0], g[4]) for g in got] == [(1, "block"), (2, "block"), (3, "allow"), (4, "allow"), (5, "block"), (6, "allow"), (7, "allow"), (8, "block"), (8, "block"), (9, "allow"), (10, "allow")]
     assert got[2][1:4] == ("free.net", "/Path", None) and got[5][1:3] == ("", "") and got[3][3] == "good.org/ok"
     log = spark.createDataFrame([("http://notbad.com/", "http://bad.com/k"), (None, "x")], "from_url string, to_url string")
     assert {r.page_id: r.verdict for r in urls.judge(Work(spark, "t"), table, RULES, log).collect()}[10] == "block"
     assert urls.judge(Work(spark, "t"), table.limit(0), RULES).count() == 0
 
 
+def test_relative_links_long_tags_and_a_third_of_all_pages(spark):
+    long = "p" * 9000
+    tag = lambda kind, to, **more: f'<link rel="canonical" {"".join(f"{k}={v} " for k, v in more.items())}href="{to}">' if kind else f"<META content='0;URL={to}' http-equiv=Refresh>"
+    pages = [
+        (1, "http://s.net/a/b.html", "<p>" + tag(1, "next.html")), (2, "http://s.net/a/next.html", tag(0, "../c/./d?x=1")), (3, "http://s.net/c/d?x=1", tag(1, f"/{long}", data="x" * 5000)),
+        (4, f"http://s.net/{long}", tag(1, "//x.bad.com/q")), (5, "http://s.net/e", "<base href='http://x.bad.com/'>" + tag(1, "q")), (6, "http://s.net/e?z", tag(0, "?y&amp;k")),
+        (7, "http://s.net/e?y&k", tag(1, "http://s.net/fine")), (8, "http://s.net/fine", tag(1, "#top") + tag(1, "mailto:x@bad.com") + '<link rel="stylesheet" href="http://bad.com/c">'),
+        (9, "http://s.net/g/", tag(1, "..")), (10, "http://s.net/", tag(1, "http://good.org/ok/")), (11, "http://s.net/h", tag(1, "http://good.org/ok/")),
+    ]
+    pages += [(100 + k, f"http://m{k}.net/", tag(k % 2, "http://bad.com/hub")) for k in range(60)] + [(300, "http://m.net/", None)]
+    got = {r.page_id: r.verdict for r in urls.judge(Work(spark, "t"), spark.createDataFrame(pages, "page_id long, url string, html string"), RULES).collect()}
+    blocked = {1, 2, 3, 4, 5, *range(100, 160)}
+    assert got == {p: "block" if p in blocked else "allow" for p, _, _ in pages}
+    table = spark.createDataFrame([(r.host, r.path, r.verdict) for r in RULES], "host string, path string, verdict string")
+    assert {r.page_id: r.verdict for r in urls.judge(Work(spark, "t"), spark.createDataFrame(pages, "page_id long, url string, html string"), table).collect()} == got
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3), (500, 501), (501, 500)]
     got = {r.node: r.component for r in components(Work(spark, "t"), spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -256,8 +273,8 @@ def test_leaks_are_found_and_clean_texts_left(spark, docs):
     question_only = prose(rng, 30) + " " + items[5][1].split(".")[0] + " " + prose(rng, 30)
     table = docs([leak(0), leak(1) + leak(2), prose(rng, 4000), question_only, None, "", items[3][1], (77, items[4][1]), (77, items[4][1])])
     bench = spark.createDataFrame([*items, (None, "x y"), (99, None), (98, "")], "item_id long, text string")
-    for part_bytes in (decontam.PART_BYTES, 400):
-        got = sorted((r.doc_id, r.item_id) for r in decontam.leaks(table, bench, part_bytes=part_bytes).collect())
+    for part_bytes, broadcast_bytes in ((decontam.PART_BYTES, decontam.BROADCAST_BYTES), (400, 1 << 20), (400, 5000)):
+        got = sorted((r.doc_id, r.item_id) for r in decontam.leaks(table, bench, part_bytes=part_bytes, broadcast_bytes=broadcast_bytes).collect())
         assert got == [(0, 0), (1, 1), (1, 2), (6, 3), (77, 4), (77, 4)]
     kept = decontam.clean(Work(spark, "t"), table, bench)
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 5] and kept.columns == table.columns
@@ -272,11 +289,16 @@ def test_block_bounds_lose_nothing():
     index = decontam.build(items, df, 50, sum(map(len, bag)) / 50, 2 * max(map(len, bag)))
     texts = [decontam.words_of(prose(rng, 50) + " " + items[i][1] + " " + prose(rng, 50)) for i in range(50)]
     got = decontam.search(index, texts, 0.3, 0.0, 5)
+    dense = np.zeros((len(index.words), 50))
+    for w in range(len(index.words)):
+        lo, hi = index.start[w], index.start[w + 1]
+        dense[w, index.items[lo:hi]] = index.impacts[lo:hi]
+    assert np.allclose(dense.sum(0), 1, atol=1e-5)
     step, want = index.window // 2, {}
     for d, words in enumerate(texts):
         for s in range(0, max(1, -(-len(words) // step)) * step, step):
             own = {index.words[w] for w in words[s : s + index.window] if w in index.words}
-            scores = index.impacts[sorted(own)].sum(0, dtype=np.float64) if own else np.zeros(index.impacts.shape[1])
+            scores = dense[sorted(own)].sum(0) if own else np.zeros(50)
             for c in np.flatnonzero(np.round(scores, 6) >= 0.3):
                 want[d, index.item_ids[c]] = max(want.get((d, index.item_ids[c]), 0), scores[c])
     assert {(d, i) for d, i, *_ in got} == set(want)
@@ -308,15 +330,18 @@ def test_toxicity_ignores_identity_terms(spark, docs):
 # 9 lines
 
 
-def brute_lines(rows, min_chars=lines.MIN_CHARS, runs=(1, 2, 4)):
+def brute_lines(rows, min_chars=lines.MIN_CHARS, runs=None):
     own = {d: [x for x in (t or "").split("\n") if x.strip(" ")] for d, t in rows}
+    runs = runs or range(1, 1 + max(map(len, own.values()), default=0))
     gone = {d: set() for d in own}
-    for k in runs:
-        seen = set()
+    name = {d: [0] * (len(ls) + 1) for d, ls in own.items()}  # of the runs of k - 1 lines
+    size = {d: [0, *itertools.accumulate(len(x) + 1 for x in ls)] for d, ls in own.items()}
+    for k in range(1, 1 + max(runs)):
+        names, seen = {}, set()
         for d, ls in own.items():
-            for i in range(len(ls) - k + 1):
-                run = tuple(ls[i : i + k])
-                if sum(map(len, run)) + k - 1 < min_chars:
+            name[d] = [names.setdefault((name[d][i], ls[i + k - 1]), len(names)) for i in range(len(ls) - k + 1)]
+            for i, run in enumerate(name[d]):
+                if k not in runs or size[d][i + k] - size[d][i] - 1 < min_chars:
                     continue
                 if run in seen:
                     gone[d] |= set(range(i, i + k))
