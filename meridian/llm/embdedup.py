@@ -179,8 +179,10 @@ def near_duplicates(work: Work, vectors: DataFrame, threshold: float = THRESHOLD
     counts = found.groupBy("c").agg(F.sum("links").alias("links"))
     known = same.join(counts, "c", "left").join(linked.select(F.col("node").alias("c"), "component"), "c", "left")
     known = known.select("h", "h2", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "c").alias("g"))
+    known = work.write(known, "known")  # written, so that Spark can split the join at a vector with many copies
     placed = work.write(rows.select("_row", "doc_id", "h", "h2").join(known, ["h", "h2"], "left").select("_row", "doc_id", "n_links", F.coalesce("g", "_row").alias("g")), "placed")
     names = placed.groupBy("g").agg(F.min("doc_id").alias("component_id"))
+    names = work.write(names, "names")
     named = placed.join(names, "g")
     return named.select(F.col("doc_id").cast("long").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("component_id").cast("long").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import Work, components, with_rows
+from .common import Work, components, whole_rows, with_rows
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -236,6 +236,7 @@ def classes(work: Work, docs: DataFrame, threshold: float = THRESHOLD, shingle:
     reps = work.write(sketched.where("c is not null").select("c", "n", "s").dropDuplicates(["c"]), "classes")
     banded = reps.select("c", "s").mapInArrow(functools.partial(_bands, bands, rows), "k long, c long")
     buckets = banded.groupBy("k").agg(F.min("c").alias("m"), F.count("*").alias("size")).where("size > 1")
+    buckets = work.write(buckets, "buckets")  # written, as all that a crowded key is joined to: Spark can split such a join
     members = work.write(banded.join(buckets, "k"), "members")
 
     one = sketched.where("c is not null").groupBy("c").agg(F.min("_row").alias("_row"))
@@ -254,6 +255,7 @@ def classes(work: Work, docs: DataFrame, threshold: float = THRESHOLD, shingle:
     placed = members.join(found, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     # a bucket's first has no row in ``found`` if it is the smallest of its component
     mixed = placed.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("size").alias("size")).where("lo <> hi and size > 2").select("k")
+    mixed = work.write(mixed, "mixed")
     placed = placed.join(mixed, "k").join(reps, "c").select("k", "c", "m", "comp", "n", "s", "size")
     blocks = F.ceil(F.col("size") / block).cast("int")
     dealt = placed.withColumn("own", F.pmod(F.xxhash64("c"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -285,12 +287,13 @@ def _judged(work: Work, rows: DataFrame, options: dict) -> DataFrame:
     placed = work.write(classes(work, rows, **options), "placed")
     placed = placed.join(rows.select("_row", F.col("doc_id").cast("long").alias("doc_id")), "_row")
     first = placed.where("g is not null").groupBy("g").agg(F.min(F.struct("doc_id", "_row")).alias("f"))
+    first = work.write(first, "first")
     judged = placed.join(first, "g", "left")
     return judged.select("_row", "doc_id", F.coalesce("f.doc_id", "doc_id").alias("class_id"), F.coalesce(F.col("f._row") == F.col("_row"), F.lit(True)).alias("kept"))
 
 
 def dedup(work: Work, docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all their columns, of which one of each class stays: the one with the smallest doc_id."""
-    rows = with_rows(work, docs)
+    rows = with_rows(work, whole_rows(docs))
     gone = _judged(work, rows, options).where("not kept").select("_row")
-    return rows.join(gone, "_row", "left_anti").drop("_row")
+    return rows.join(gone, "_row", "left_anti").select("own.*")
