@@ -3,12 +3,17 @@
 Rules (host, path prefix, verdict) fit a host and its subdomains; of the rules that fit a URL the
 longest wins (host and path together; a block wins a tie).  URLs that redirect to one another, or
 name one another as canonical, are aliases: connected components over those edges.  A component in
-which some URL is blocked by a rule blocks its members, except those that a rule allows, and if one
-of its members is allowed by a rule, that explicit allow takes precedence over the spread of blocks:
-members without a rule of their own stay allowed.
+which some URL is blocked by a rule blocks its members, crawled or not, except those that a rule
+allows: an explicit allow takes precedence for the page that it names, and for no other.
 
-DataFrame operations only.  A null URL, or one without ``://``, has an empty host and path, fits no
-rule and has no aliases.  Rows are judged each, also if ids or URLs repeat.
+Links are read from canonical ``link`` and refresh ``meta`` tags of any length, and resolved against
+the page's URL or its first ``base`` tag (RFC 3986: scheme-relative, absolute and relative paths, dot
+segments, query only).
+
+DataFrame operations only.  Rules are joined by host, from all hosts that occur to the rules of their
+suffixes, so a plan doesn't grow with the list.  A null URL, or one without ``://``, has an empty host
+and path, fits no rule and has no aliases.  Rows are judged each, also if ids or URLs repeat; null
+html has no links.
 """
 
 from __future__ import annotations
@@ -20,9 +25,6 @@ from pyspark.sql import functions as F
 
 from .common import Work, components
 
-#: The rules are part of the plan; larger lists belong in a table.
-MAX_RULES = 10_000
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -54,62 +56,109 @@ def url_key(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(host_of(url), rest))
 
 
-def winning_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
-    """Struct (rule, verdict) of the longest rule that fits, else null."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    best = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for r in sorted(rules, key=lambda r: (len(r.host + r.path), r.verdict == "block", r.host)):  # the longest is asked first
-        fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
-        best = F.when(fits, F.struct(F.lit(r.host + r.path).alias("rule"), F.lit(r.verdict).alias("verdict"))).otherwise(best)
-    return best
+def _after(text: Column, pattern: str) -> Column:
+    return F.regexp_extract(text, pattern, 1)
+
+
+def without_dots(path: Column) -> Column:
+    """A path that starts with a slash, with ``.`` and ``..`` segments resolved."""
+    parts = F.slice(F.split(path, "/"), 2, 1 << 30)
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    done = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(x == ".", done).when(x == "..", up(done)).otherwise(F.concat(done, F.array(x))))
+    done = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(done, F.array(F.lit("")))).otherwise(done)
+    return F.when(path.contains("/."), F.concat(F.lit("/"), F.array_join(done, "/"))).otherwise(path)
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The absolute URL of ``target`` on a page at ``base``; null if it names no page (fragment only, other kinds of URL)."""
+    scheme, server = _after(base, r"(?s)\A([^:/?#]*):"), _after(base, r"(?s)\A[^:/?#]*://([^/?#]*)")
+    origin = F.concat(scheme, F.lit("://"), server)
+    path, rest = _after(target, r"(?s)\A([^?#]*)"), _after(target, r"(?s)\A[^?#]*(.*)")
+    folder = _after(path_of(base), r"(?s)\A(.*/)")
+    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    return (
+        F.when(target.rlike(r"(?s)\A[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"(?s)\A(#|\z|[A-Za-z][A-Za-z0-9+.-]*:)"), F.lit(None).cast("string"))
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.startswith("/"), F.concat(origin, without_dots(path), rest))
+        .when(target.startswith("?"), F.concat(origin, path_of(base), target))
+        .otherwise(F.concat(origin, without_dots(F.concat(folder, path)), rest))
+    )
 
 
-def link_edges(pages: DataFrame) -> DataFrame:
-    """(``a``, ``b``): a page's URL and the absolute target of its canonical link or refresh redirect."""
-    html = F.col("html")
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]{0,4000}>"), F.lit(0))
-    wanted = F.filter(tags, lambda t: t.rlike(r"(?i)rel\s*=\s*[\"']?\s*canonical\b") | t.rlike(r"(?i)http-equiv\s*=\s*[\"']?\s*refresh\b"))
-    target = F.transform(
-        wanted,
-        lambda t: F.when(t.rlike(r"(?i)http-equiv"), F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)).otherwise(F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)),
-    )
-    found = pages.where(html.rlike(r"(?i)canonical|http-equiv")).select(F.col("url").alias("_u"), F.explode(target).alias("_t"))
-    scheme = F.regexp_extract("_u", r"(?s)\A([^:/?#]*):", 1)
-    absolute = F.when(F.col("_t").rlike(r"(?s)\A[A-Za-z][A-Za-z0-9+.-]*://"), F.col("_t")).when(F.col("_t").startswith("//"), F.concat(scheme, F.lit(":"), F.col("_t"))).when(F.col("_t").startswith("/"), F.concat(scheme, F.lit("://"), host_of(F.col("_u")), F.col("_t")))
-    return found.select(url_key(F.col("_u")).alias("a"), url_key(absolute).alias("b")).where("a is not null and b is not null and a <> b")
+def _attribute(tag: Column, name: str) -> Column:
+    quoted = [_after(tag, rf"(?is)(?<![\w-]){name}\s*=\s*{q}([^{q}]*){q}") for q in ('"', "'")]
+    bare = _after(tag, rf"(?is)(?<![\w-]){name}\s*=\s*([^\s\"'>]+)")
+    value = F.when(quoted[0] != "", quoted[0]).when(quoted[1] != "", quoted[1]).otherwise(bare)
+    return F.trim(F.replace(value, F.lit("&amp;"), F.lit("&")))
 
 
-def judge(work: Work, pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None) -> DataFrame:
+def link_edges(pages: DataFrame) -> DataFrame:
+    """(``a``, ``b``): keys of a page's URL and of the target of each of its canonical links and refresh redirects."""
+    html, url = F.col("html").cast("string"), F.col("url").cast("string")
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta|base)\b[^<>]*+>"), F.lit(0))
+    found = pages.where(html.rlike(r"(?i)canonical|http-equiv") & url.contains("://")).select(url.alias("u"), tags.alias("tags"))
+    base = F.get(F.filter("tags", lambda t: t.rlike(r"(?i)\A<base\b")), F.lit(0))
+    found = found.select("u", "tags", F.coalesce(resolved(_attribute(base, "href"), F.col("u")), F.col("u")).alias("base"))
+    canonical = lambda t: t.rlike(r"(?i)\A<link\b") & t.rlike(r"(?i)(?<![\w-])rel\s*=\s*[\"']?[^\"'>]*\bcanonical\b")
+    refresh = lambda t: t.rlike(r"(?i)\A<meta\b") & t.rlike(r"(?i)http-equiv\s*=\s*[\"']?\s*refresh\b")
+    target = lambda t: F.when(canonical(t), _attribute(t, "href")).otherwise(_after(_attribute(t, "content"), r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s]+)"))
+    found = found.select("u", "base", F.explode(F.filter("tags", lambda t: canonical(t) | refresh(t))).alias("t"))
+    found = found.select("u", "base", target(F.col("t")).alias("to"))
+    return found.select(url_key(F.col("u")).alias("a"), url_key(resolved(F.col("to"), F.col("base"))).alias("b")).where("a is not null and b is not null and a <> b")
+
+
+def rule_table(like: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(h, p, rule, verdict) of a list of rules."""
+    rows = [F.struct(F.lit(r.host).alias("h"), F.lit(r.path).alias("p"), F.lit(r.host + r.path).alias("rule"), F.lit(r.verdict).alias("verdict")) for r in rules]
+    return like.sparkSession.range(1).select(F.inline(F.array(*rows))) if rows else like.sparkSession.range(0).select(*[F.lit("").alias(c) for c in ("h", "p", "rule", "verdict")])
+
+
+def with_rules(work: Work, rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rows`` (host, path) and ``best``: struct of rule and verdict of the longest rule that fits, else null."""
+    parts = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+    hosts = rows.where("host <> ''").select("host").distinct().select("host", F.explode(suffixes).alias("h"))
+    fits = hosts.join(rules, "h").groupBy("host").agg(F.collect_set(F.struct(F.length("rule").alias("n"), (F.col("verdict") == "block").alias("b"), "p", "rule", "verdict")).alias("rules"))
+    fits = work.write(fits, "rules")  # a host's rules, of those given; written, so that Spark can split the join at a host with many pages
+    best = F.array_max(F.filter("rules", lambda r: F.col("path").startswith(r["p"])))
+    best = F.when(best.isNotNull(), F.struct(best["rule"].alias("rule"), best["verdict"].alias("verdict")))
+    return rows.join(fits, "host", "left").withColumn("best", best).drop("rules")
+
+
+def judge(work: Work, pages: DataFrame, rules: list[Rule] | DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """Rows (page_id, host, path, rule, verdict) for all rows of ``pages`` (page_id, url, html).
 
-    ``redirects`` (from_url, to_url) adds edges of a crawl log.  Ends of edges that aren't pages are
-    judged too, so a page is blocked if it redirects to a blocked URL that wasn't crawled.
+    ``rules``: a list, or a table (host, path, verdict).  ``redirects`` (from_url, to_url) adds edges
+    of a crawl log.  Ends of edges that aren't pages are judged too, so a page is blocked if it
+    redirects to a blocked URL that wasn't crawled.
     """
-    own = pages.select("page_id", F.col("url").cast("string").alias("_url")).select("page_id", host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"), url_key(F.col("_url")).alias("_key"))
-    own = own.withColumn("_best", winning_rule(F.col("host"), F.col("path"), rules))
+    table = rule_table(pages, rules) if isinstance(rules, list) else rules.select(F.col("host").alias("h"), F.col("path").alias("p"), F.concat("host", "path").alias("rule"), "verdict")
+    own = pages.select("page_id", F.col("url").cast("string").alias("u")).select("page_id", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"), url_key(F.col("u")).alias("key"))
+    own = with_rules(work, own, table)
     edges = link_edges(pages)
     if redirects is not None:
         edges = edges.unionByName(redirects.select(url_key(F.col("from_url")).alias("a"), url_key(F.col("to_url")).alias("b")).where("a is not null and b is not null and a <> b"))
     edges = work.write(edges.distinct(), "links")
     if edges.isEmpty():
-        return _rows(own.withColumn("_spread", F.lit(False)))
-    ids = edges.select(F.xxhash64("a").alias("u"), F.xxhash64("b").alias("v"))
+        return _rows(own.withColumn("spread", F.lit(False)))
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct().withColumn("node", F.monotonically_increasing_id())
+    nodes = work.write(nodes, "nodes")
+    ids = edges.join(nodes.toDF("a", "u"), "a").join(nodes.toDF("b", "v"), "b").select("u", "v")
     member = components(work, ids, 100)
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("_key")).distinct().withColumn("node", F.xxhash64("_key"))
-    member = member.unionByName(member.select(F.col("component").alias("node"), "component")).distinct()
-    nodes = nodes.join(member, "node")
-    as_url = F.concat(F.lit("x://"), F.col("_key"))
-    best = winning_rule(host_of(as_url), path_of(as_url), rules).getField("verdict")
-    nodes = nodes.withColumn("_v", best)
-    said = nodes.groupBy("component").agg(F.max(F.col("_v") == "block").alias("_b"), F.max(F.col("_v") == "allow").alias("_a"))
-    blocked = nodes.join(said.where("_b and not coalesce(_a, false)").select("component"), "component").select("_key", F.lit(True).alias("_spread"))
-    return _rows(own.join(blocked, "_key", "left"))
+    nodes = nodes.join(member, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+    as_url = F.concat(F.lit("x://"), F.col("key"))
+    judged = with_rules(work, nodes.select("key", "component", host_of(as_url).alias("host"), path_of(as_url).alias("path")), table)
+    judged = work.write(judged.select("key", "component", F.col("best.verdict").alias("v")), "judged")
+    said = work.write(judged.where("v = 'block'").select("component").distinct(), "blocked")
+    blocked = work.write(judged.join(said, "component", "left_semi").select("key", F.lit(True).alias("spread")), "spread")
+    work.drop(edges, judged, said)
+    return _rows(own.join(blocked, "key", "left"))
 
 
 def _rows(df: DataFrame) -> DataFrame:
-    spread = F.when(F.coalesce("_spread", F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
-    return df.select("page_id", "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", spread).alias("verdict"))
+    spread = F.when(F.coalesce("spread", F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
+    return df.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", spread).alias("verdict"))
 
 
 #: For pages without canonical or refresh links, as the method then blocks nothing more.
