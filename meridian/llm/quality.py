@@ -4,7 +4,10 @@ A text is compressed once with either dictionary.  The normalised difference of
 ``(bad - good) / max(bad, good)``, says which kind it shares more strings with; a logistic curve
 fitted on labelled texts outside the dictionaries turns it into a probability.  The curve has a
 second input, how far the text compresses without a dictionary, as junk that repeats itself or
-never repeats anything moves the difference without moving the label.
+never repeats anything moves the difference without moving the label.  ``plain=False`` leaves it out.
+
+Null ids have a null ``held_out``, as there is no remainder; they are never learned from.  Null and
+empty texts have the score of equal sizes.  Texts are scored whole, however long.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ from .common import batches
 
 DICT_BYTES = 112_640
 LEVEL = 3
-PIECE_BYTES = 1024
-PIECES = 4
+#: Training texts are handed to the dictionary builder in pieces of this size, all of them.
+PIECE_BYTES = 8192
 THRESHOLD = 0.3
 
 
@@ -54,8 +57,8 @@ def features(model: Model, text: str | None) -> list[float]:
     return [1.0, (bad - good) / max(bad, good, 1), plain / (len(raw) + 32), np.log1p(len(raw)) / 10]
 
 
-def _expand(x: np.ndarray) -> np.ndarray:
-    d, r, n = x[:, 1], x[:, 2], x[:, 3]
+def _expand(x: np.ndarray, plain: bool = True) -> np.ndarray:
+    d, r, n = x[:, 1], x[:, 2] * plain, x[:, 3] * plain
     return np.stack([np.ones(len(x)), d, r, n, d * n, r * r, np.sign(d) * np.sqrt(np.abs(d))], 1)
 
 
@@ -74,10 +77,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60
 
 
 def _slices(text: str) -> list[bytes]:
-    """Up to PIECES pieces of a text, spread evenly over all of it: no single text fills a dictionary."""
+    """A whole text in pieces."""
     raw = text.encode()
-    step = max(PIECE_BYTES, -(-len(raw) // PIECES))
-    return [raw[i : i + PIECE_BYTES] for i in range(0, len(raw), step)]
+    return [raw[i : i + PIECE_BYTES] for i in range(0, len(raw), PIECE_BYTES)]
 
 
 def _dictionary(pieces: list[bytes], size: int) -> bytes:
@@ -98,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, label:
     return fit_texts(sample, dict_bytes, level)
 
 
-def fit_texts(sample: list[tuple[int, str]], dict_bytes: int = DICT_BYTES, level: int = LEVEL) -> Model:
+def fit_texts(sample: list[tuple[int, str]], dict_bytes: int = DICT_BYTES, level: int = LEVEL, plain: bool = True) -> Model:
     ys = {y for y, _ in sample}
     if ys != {0, 1}:
         share = (sum(y for y, _ in sample) + 1) / (len(sample) + 2)
@@ -113,7 +115,7 @@ def fit_texts(sample: list[tuple[int, str]], dict_bytes: int = DICT_BYTES, level
         while len(v) > 1 and total - len(v[-1]) >= least:
             total -= len(v.pop())
     bare = Model(_dictionary(by[1], dict_bytes), _dictionary(by[0], dict_bytes), level, ())
-    x = _expand(np.array([features(bare, t) for _, t in rest]))
+    x = _expand(np.array([features(bare, t) for _, t in rest]), plain)  # weights of zero for what is left out
     w = _logistic(x, np.array([float(y) for y, _ in rest]))
     return Model(bare.good, bare.bad, level, tuple(float(v) for v in w))
 

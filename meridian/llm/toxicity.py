@@ -1,7 +1,7 @@
 """Toxicity: a logistic word model that is held to the same score when identity terms are swapped.
 
-Every labelled text that mentions a group gets a counterfactual: each identity term is replaced by
-another of its kind.  The loss adds ``swap_weight`` times the mean squared difference of the two
+Every labelled text that mentions a group gets counterfactuals: each identity term is replaced by
+the others of its kind, one after another.  The loss adds ``swap_weight`` times the mean squared difference of the two
 log odds, and neutral sentences about each group, made from templates, count as examples that
 aren't toxic.  So a mention of a group by itself doesn't move the score.
 
@@ -9,7 +9,8 @@ Features are a text's distinct lower-case words and the starts of its words (``^
 letters: one stem has many endings) that enough sample texts hold, chosen by how far they shift the
 odds; an insult in a long text counts as much as in a short one.  A quarter of the sample isn't
 fitted but sets slope and intercept of the probabilities.  A text without known features (also an
-empty or null one) has the score of the intercept.
+empty or null one) has the score of the intercept.  Texts are scored whole, however long.  Null ids
+have a null ``held_out``, as there is no remainder; they are never learned from.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from . import sampling
 from .common import batches
 
 THRESHOLD = 0.7
-#: Words that are features at most, and sample texts that must hold a word.
+#: Features of a model (a parameter of ``fit``), and sample texts that must hold one.
 MAX_WORDS = 4000
 MIN_TEXTS = 4
 SWAP_WEIGHT = 5.0
@@ -97,19 +98,15 @@ def words_of(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
-def swapped(words: set[str]) -> set[str] | None:
-    """The words with each identity term replaced by the next of its kind; None if there is none."""
-    out, any_ = set(words), False
-    for kind in IDENTITY:
-        for i, term in enumerate(kind):
-            if term in words:
-                any_ = True
-                out.discard(term)
-                out.add(kind[(i + 1) % len(kind)])
-    return out if any_ else None
+def swapped(words: set[str]) -> list[set[str]]:
+    """The words with each identity term replaced by the next of its kind, by the one after that, and so on; none without a term."""
+    mentioned = [(kind, i) for kind in IDENTITY for i, term in enumerate(kind) if term in words]
+    rest = words.difference(*IDENTITY)
+    most = max((len(kind) for kind, _ in mentioned), default=1)
+    return [rest | {kind[(i + step) % len(kind)] for kind, i in mentioned} for step in range(1, most)]
 
 
-def _select(rows: list[tuple[int, set[str]]]) -> list[str]:
+def _select(rows: list[tuple[int, set[str]]], max_words: int) -> list[str]:
     """The words whose presence shifts the odds most, by a z score of the log odds ratio."""
     n = Counter(y for y, _ in rows)
     df = {0: Counter(), 1: Counter()}
@@ -121,7 +118,7 @@ def _select(rows: list[tuple[int, set[str]]]) -> list[str]:
         if a + b >= MIN_TEXTS:
             odds = np.log((a + 0.5) / (n[1] - a + 0.5)) - np.log((b + 0.5) / (n[0] - b + 0.5))
             score[w] = abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    best = sorted(score, key=lambda w: (-score[w], w))[:MAX_WORDS]
+    best = sorted(score, key=lambda w: (-score[w], w))[:max_words]
     return sorted(set(best) | {t for kind in IDENTITY for t in kind})
 
 
@@ -134,7 +131,7 @@ def _matrix(sets: Iterable[set[str]], index: Index) -> tuple[np.ndarray, np.ndar
     return np.array(rows, np.int64), np.array(cols, np.int64)
 
 
-def fit_texts(sample: list[tuple[int, str]], swap_weight: float = SWAP_WEIGHT, ridge: float = RIDGE, steps: int = 400) -> Model:
+def fit_texts(sample: list[tuple[int, str]], swap_weight: float = SWAP_WEIGHT, ridge: float = RIDGE, steps: int = 400, max_words: int = MAX_WORDS) -> Model:
     """By gradient descent with momentum over the whole sample."""
     ys = {y for y, _ in sample}
     if ys != {0, 1}:
@@ -144,12 +141,12 @@ def fit_texts(sample: list[tuple[int, str]], swap_weight: float = SWAP_WEIGHT, r
     rows = [(y, words_of(t)) for i, (y, t) in enumerate(sample) if i % 4 != 3]
     if {y for y, _ in rows} != ys or {y for y, _ in held} != ys:
         held = rows = rows + held
-    names = _select(rows)
+    names = _select(rows, max_words)
     index = Index(names)
     rows = rows + [(0, words_of(t.format(term))) for kind in IDENTITY for term in kind for t in TEMPLATES]
     y = np.array([float(v) for v, _ in rows])
     r, c = _matrix((w for _, w in rows), index)
-    pairs = [(w, s) for _, w in rows if (s := swapped(w)) is not None]
+    pairs = [(w, s) for _, w in rows for s in swapped(w)]
     pr, pc = _matrix((w for w, _ in pairs), index)
     sr, sc = _matrix((s for _, s in pairs), index)
     n, d, m = len(rows), len(names), max(len(pairs), 1)
@@ -184,9 +181,9 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(min(max(w[0], 0.2), 10.0)), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, label: str = "toxic", rows: int = sampling.ROWS, max_bytes: int = sampling.BYTES) -> Model:
-    """Fits on a bounded sample of labelled rows (``rows``, ``max_bytes``) for which ``where`` holds (all, if None)."""
-    return fit_texts(sampling.labelled_sample(docs, labels, label, where, rows, max_bytes))
+def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, label: str = "toxic", rows: int = sampling.ROWS, max_bytes: int = sampling.BYTES, max_words: int = MAX_WORDS, swap_weight: float = SWAP_WEIGHT) -> Model:
+    """Fits on a bounded sample of labelled rows (``rows``, ``max_bytes``) for which ``where`` holds (all, if None), with at most ``max_words`` features."""
+    return fit_texts(sampling.labelled_sample(docs, labels, label, where, rows, max_bytes), swap_weight, max_words=max_words)
 
 
 @functools.lru_cache(maxsize=2)
