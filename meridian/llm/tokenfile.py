@@ -72,7 +72,7 @@ class EliasFano:
         n, low_bits, n_low, n_high = (int(x) for x in np.frombuffer(raw, "<u8", 4))
         samples = -(-n // SAMPLE)
         byte, ones = np.frombuffer(raw[32 : 32 + 8 * samples], "<u4").reshape(2, samples)
-        data = np.frombuffer(raw, np.uint8, offset=32 + 8 * samples)
+        data = np.frombuffer(raw[32 + 8 * samples :], np.uint8)
         return cls(n, low_bits, data[:n_low], data[n_low : n_low + n_high], byte, ones)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
@@ -87,8 +87,8 @@ class EliasFano:
         i = np.asarray(i, np.int64)
         position = np.empty(len(i), np.int64)
         block = i // SAMPLE
-        cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(i) else i
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(i)], strict=True):
+        cuts = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), len(i)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
             k = int(block[a])
             first = int(self.sample_byte[k])
             last = int(self.sample_byte[k + 1]) + 1 if k + 1 < len(self.sample_byte) else len(self.high)

@@ -3,7 +3,7 @@
 The vocabulary's pre-tokenizer never makes a piece that crosses white space, so the ids of a text
 are the ids of its chunks (split at spaces and newlines), one after another.  Most chunks recur, so
 :class:`ChunkEncoder` remembers their ids and asks the library only for what it hasn't met, many
-words in one call.  Texts are lower-cased first and single full stops and commas set apart, which is
+words in one call; words of plain ASCII letters go to its model at once.  Texts are lower-cased first and single full stops and commas set apart, which is
 what the vocabulary's own normaliser and pre-tokenizer do.  Texts for which that isn't certain
 (combining marks, letters with context-dependent lower case, runs of mixed punctuation) are split
 less or go to the library as they are.
@@ -17,6 +17,7 @@ import os
 import re
 import string
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,6 +79,11 @@ class ChunkEncoder:
         missing = missing.difference(found)
         words = [c for c in missing if c.isalpha()] if self.plain else []
         odd = list(missing.difference(words))
+        tokenize, code = self.tokenizer.model.tokenize, "H" if self.dtype == "<u2" else "I"
+        for c in words:
+            if c.isascii():  # neither the normaliser nor the pre-tokenizer changes a word of ASCII letters
+                found[c] = array(code, [t.id for t in tokenize(c)]).tobytes()
+        words = [c for c in words if not c.isascii()]
         found.update(zip(odd, self._each(odd), strict=True))
         groups = [words[i : i + WORDS_A_CALL] for i in range(0, len(words), WORDS_A_CALL)]
         for group, raw in zip(groups, self._each([" ".join(g) for g in groups]), strict=True):
