@@ -8,7 +8,6 @@ Parquet in the shared folder and reads it again for the next.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from meridian.llm import decontam, lines, neardup, packing, quality
 from meridian.llm.common import Work, fold, table
@@ -22,19 +21,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts less the later copies of repeated line runs.  A document of which no word is left goes; ``n_chars`` follows the text."""
-    done = lines.dedup(Work(spark, "pipeline-lines"), docs)
-    done = done.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
-    return done.select(*[F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return lines.clean(Work(spark, "pipeline-lines"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class."""
-    return neardup.dedup(Work(spark, "pipeline-neardup"), docs).select(*docs.columns)
+    return neardup.dedup(Work(spark, "pipeline-neardup"), docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item leaks."""
-    return decontam.clean(Work(spark, "pipeline-leaks"), docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return decontam.clean(Work(spark, "pipeline-leaks"), docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
