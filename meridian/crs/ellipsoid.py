@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from meridian.functions.binding import bind, named
+
 
 @dataclass(frozen=True)
 class Ellipsoid:
@@ -100,12 +103,17 @@ def inverse_helmert(t: Helmert, x: Column, y: Column, z: Column) -> tuple[Column
     return tuple(row[0] * dx + row[1] * dy + row[2] * dz for row in inv)
 
 
+def _shifted(lat: Column, lon: Column, source: Ellipsoid, target: Ellipsoid, shift: Callable) -> tuple[Column, Column]:
+    """Degrees on another ellipsoid, at height 0; the resulting height is dropped.  Each step's values are bound once."""
+    start = bind(named(lat=lat, lon=lon), lambda p: named(**dict(zip("xyz", to_geocentric(source, p["lat"], p["lon"], F.lit(0.0)), strict=True))))
+    moved = bind(start, lambda g: named(**dict(zip("xyz", shift(OSGB36_TO_WGS84, g["x"], g["y"], g["z"]), strict=True))))
+    there = bind(moved, lambda g: named(**dict(zip(("lat", "lon"), to_geodetic(target, g["x"], g["y"], g["z"])[:2], strict=True))))
+    return there["lat"], there["lon"]
+
+
 def osgb36_to_wgs84(lat: Column, lon: Column) -> tuple[Column, Column]:
-    """At height 0; the resulting height is dropped."""
-    phi, lam, _ = to_geodetic(WGS84, *helmert(OSGB36_TO_WGS84, *to_geocentric(AIRY, lat, lon, F.lit(0.0))))
-    return phi, lam
+    return _shifted(lat, lon, AIRY, WGS84, helmert)
 
 
 def wgs84_to_osgb36(lat: Column, lon: Column) -> tuple[Column, Column]:
-    phi, lam, _ = to_geodetic(AIRY, *inverse_helmert(OSGB36_TO_WGS84, *to_geocentric(WGS84, lat, lon, F.lit(0.0))))
-    return phi, lam
+    return _shifted(lat, lon, WGS84, AIRY, inverse_helmert)

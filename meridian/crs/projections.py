@@ -86,7 +86,7 @@ def utm_zone(lat: Column, lon: Column) -> Column:
     w = wrap(lon)
     plain = F.least(F.floor((w + 180) / 6) + 1, F.lit(60)).cast("int")
     norway = (lat >= 56) & (lat < 64) & (w >= 3) & (w < 12)
-    svalbard = (lat >= 72) & (lat <= 84)
+    svalbard = (lat >= 72) & (lat < 84)
     zone = F.when(norway, 32).when(svalbard & (w >= 0) & (w < 9), 31).when(svalbard & (w >= 9) & (w < 21), 33).when(svalbard & (w >= 21) & (w < 33), 35).when(svalbard & (w >= 33) & (w < 42), 37).otherwise(plain)
     return F.when((F.abs(lat) <= 90) & ~F.isnan(lat) & ~F.isnan(lon) & (F.abs(lon) < float("inf")), zone)
 

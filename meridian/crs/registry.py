@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from meridian.functions.binding import bind, named
+
 from . import ellipsoid, projections
 
 KNOWN = (4326, 3857, 2154, 5070, 4277, 27700)
@@ -61,8 +63,10 @@ def from_geographic(epsg: int, lat: Column, lon: Column) -> tuple[Column, Column
         return lon, lat
     if epsg in (4277, 27700):
         lat, lon = ellipsoid.wgs84_to_osgb36(lat, lon)
-        return (lon, lat) if epsg == 4277 else _projection(epsg).forward(lat, lon)
-    return _projection(epsg).forward(lat, lon)
+        if epsg == 4277:
+            return lon, lat
+    there = bind(named(lat=lat, lon=lon), lambda p: named(**dict(zip("xy", _projection(epsg).forward(p["lat"], p["lon"]), strict=True))))
+    return there["x"], there["y"]
 
 
 def to_geographic(epsg: int, x: Column, y: Column) -> tuple[Column, Column]:
@@ -71,7 +75,8 @@ def to_geographic(epsg: int, x: Column, y: Column) -> tuple[Column, Column]:
         return y, x
     if epsg == 4277:
         return ellipsoid.osgb36_to_wgs84(y, x)
-    lat, lon = _projection(epsg).inverse(x, y)
+    there = bind(named(x=x, y=y), lambda p: named(**dict(zip(("lat", "lon"), _projection(epsg).inverse(p["x"], p["y"]), strict=True))))
+    lat, lon = there["lat"], there["lon"]
     return ellipsoid.osgb36_to_wgs84(lat, lon) if epsg == 27700 else (lat, lon)
 
 

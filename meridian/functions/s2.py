@@ -7,11 +7,11 @@ signed long, so faces 4 and 5 are negative; :func:`order_key` sorts as unsigned.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .binding import bind
+
 MAX_LEVEL = 30
 # Masks that spread the lower 32 bits of a number to even places.
 _SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
@@ -21,21 +21,16 @@ def _long(v: int) -> Column:
     return F.lit(v).cast("long")
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once: expressions that use their input twice would double with every step."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def spread(v: Column) -> Column:
     for shift, mask in _SPREAD:
-        v = _let(v, lambda x: x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(_long(mask)))  # noqa: B023  used at once
+        v = bind(v, lambda x: x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(_long(mask)))  # noqa: B023  used at once
     return v
 
 
 def gather(v: Column) -> Column:
     v = v.bitwiseAND(_long(_SPREAD[-1][1]))
     for (shift, _), (_, mask) in zip(reversed(_SPREAD), [*reversed(_SPREAD[:-1]), (0, 0x00000000FFFFFFFF)], strict=True):
-        v = _let(v, lambda x: x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(_long(mask)))  # noqa: B023  used at once
+        v = bind(v, lambda x: x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(_long(mask)))  # noqa: B023  used at once
     return v
 
 
@@ -58,8 +53,8 @@ def _face_uv(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
     along_x, along_y = (ax >= ay) & (ax >= az), ay >= az
     face = F.when(along_x, F.when(x >= 0, 0).otherwise(3)).when(along_y, F.when(y >= 0, 1).otherwise(4)).otherwise(F.when(z >= 0, 2).otherwise(5))
     pick = lambda cases: F.coalesce(*[F.when(face == i, F.try_divide(*c)) for i, c in enumerate(cases)])
-    u = pick([(y, x), (-x, y), (-x, z), (z, x), (z, y), (-y, z)])
-    v = pick([(z, x), (z, y), (-y, z), (y, x), (-x, y), (-x, z)])
+    u = pick([(y, x), (-x, y), (-x, z)] * 2)
+    v = pick([(z, x), (z, y), (-y, z)] * 2)
     return face, u, v
 
 
@@ -70,7 +65,10 @@ def from_face_ij(face: Column, i: Column, j: Column, level: int) -> Column:
 
 
 def cell_at(lat: Column, lon: Column, level: int = MAX_LEVEL) -> Column:
-    """The id of the cell that holds a position; null if it isn't finite."""
+    """The id of the cell that holds a position; null if it isn't finite or lies past 90 or 180 degrees.
+
+    u and v of opposite faces are the same quotients, so faces 3, 4 and 5 aren't turned as in other cell schemes.
+    """
     if not 0 <= level <= MAX_LEVEL:
         raise ValueError("levels run from 0 to 30")
     size = 1 << MAX_LEVEL
@@ -78,11 +76,11 @@ def cell_at(lat: Column, lon: Column, level: int = MAX_LEVEL) -> Column:
     def index(w: Column) -> Column:
         return F.shiftright(F.greatest(F.lit(0), F.least(F.lit(size - 1), F.floor(_st(w) * float(size)))).cast("long"), MAX_LEVEL - level)
 
-    finite = ~F.isnan(lat) & ~F.isnan(lon) & (F.abs(lat) < float("inf")) & (F.abs(lon) < float("inf"))
+    finite = ~F.isnan(lat) & ~F.isnan(lon) & (F.abs(lat) <= 90) & (F.abs(lon) <= 180)
     phi, lam = F.radians(lat), F.radians(lon)
     xyz = F.struct((F.cos(phi) * F.cos(lam)).alias("x"), (F.cos(phi) * F.sin(lam)).alias("y"), F.sin(phi).alias("z"))
-    fuv = _let(xyz, lambda p: F.struct(*[c.alias(n) for c, n in zip(_face_uv(p["x"], p["y"], p["z"]), "fuv", strict=True)]))
-    return F.when(finite, _let(fuv, lambda q: from_face_ij(q["f"], index(q["u"]), index(q["v"]), level)))
+    fuv = bind(xyz, lambda p: F.struct(*[c.alias(n) for c, n in zip(_face_uv(p["x"], p["y"], p["z"]), "fuv", strict=True)]))
+    return F.when(finite, bind(fuv, lambda q: from_face_ij(q["f"], index(q["u"]), index(q["v"]), level)))
 
 
 def marker(cell: Column) -> Column:
@@ -128,7 +126,7 @@ def with_center(df: DataFrame, cell: str = "cell") -> DataFrame:
     side = F.pow(F.lit(2.0), F.col("_level"))
     out = out.withColumns({"_u": _uv((F.col("_i") + 0.5) / side), "_v": _uv((F.col("_j") + 0.5) / side)})
     f, u, v, one = F.col("_f"), F.col("_u"), F.col("_v"), F.lit(1.0)
-    xyz = [(one, u, v), (-u, one, v), (-u, -v, one), (-one, -v, -u), (v, -one, -u), (v, u, -one)]
+    xyz = [(one, u, v), (-u, one, v), (-u, -v, one), (-one, -u, -v), (u, -one, -v), (u, v, -one)]
     axes = [F.coalesce(*[F.when(f == n, p[k]) for n, p in enumerate(xyz)]) for k in range(3)]
     out = out.withColumns(dict(zip(("_x", "_y", "_z"), axes, strict=True)))
     x, y, z = F.col("_x"), F.col("_y"), F.col("_z")

@@ -8,13 +8,17 @@ join: ids come out, and attributes are joined to them late.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridian.functions import planar
 
-#: Cells that a polygon covers on average, at most.
+#: Cells across that a box may have at a level that is searched for any polygon at all.
 COVER = 16
+#: Doublings between the smallest cells of a nearest search and all there is.
+LEVELS = 20
 
 
 def cell_size(polygons: DataFrame) -> float:
@@ -96,40 +100,49 @@ def line_polygon_join(lines: DataFrame, polygons: DataFrame, size: float | None
     return inside.unionByName(crossing).distinct()
 
 
-def nearest_polygon_join(points: DataFrame, polygons: DataFrame, size: float | None = None, point_id: str = "point_id", polygon_id: str = "zone_id", rings: int = 24) -> DataFrame:
+def nearest_polygon_join(points: DataFrame, polygons: DataFrame, size: float | None = None, point_id: str = "point_id", polygon_id: str = "zone_id") -> DataFrame:
     """For each point the polygon at the smallest distance (0 inside) and that distance; the lowest id wins ties.
 
-    Cells are searched in squares that double around the point.  A point is settled once its best
-    distance is no larger than what the square surely covers; only unsettled points go on.  No polygons: no rows.
+    Cells of ``size`` and of its doublings, up to one that spans everything, hold the polygons whose
+    boxes come within a cell of them.  A point's first level at which its cell holds a polygon bounds
+    its distance: the farthest corner of that box, at most.  What lies within the bound is in the
+    point's cell at the first level as wide as the bound; box distances sort out most of it before the
+    exact distances.  Two equi-joins, no rounds.  No polygons: no rows.
     """
     boxed = with_box(polygons.select(polygon_id, "polygon")).where("xmin is not null")
-    size = size or cell_size(boxed)
     open_ = points.select(point_id, "x", "y").where("x is not null and y is not null")
-    extent = boxed.agg(F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax")).first()
-    if extent[0] is None:
+    corners = [F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax")]
+    extent, span = boxed.agg(*corners).first(), open_.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    if extent[0] is None or span[0] is None:
         return open_.select(point_id, F.lit(None).cast("long").alias(polygon_id), F.lit(0.0).alias("distance")).limit(0)
-    span = open_.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
-    if span[0] is None:
-        return open_.select(point_id, F.lit(None).cast("long").alias(polygon_id), F.lit(0.0).alias("distance"))
-    farthest = max(max(extent[2], span[2]) - min(extent[0], span[0]), max(extent[3], span[3]) - min(extent[1], span[1]))
-    done, step = None, size
-    for _ in range(rings):
-        # a grid as coarse as the square that is searched: a point looks at its cell and the eight around it
-        cells = cover(boxed, step)
-        around = F.sequence(F.lit(-1), F.lit(1))
-        probes = open_.withColumn("_cx", F.explode(F.transform(around, lambda d: _cell(F.col("x"), step) + d))).withColumn("_cy", F.explode(F.transform(around, lambda d: _cell(F.col("y"), step) + d)))
-        pairs = probes.join(cells, ["_cx", "_cy"]).select(point_id, "x", "y", polygon_id, planar.distance_to_polygon(F.col("x"), F.col("y"), F.col("polygon")).alias("d"))
-        best = pairs.groupBy(point_id).agg(F.min(F.struct("d", polygon_id)).alias("m"))
-        found = best.select(point_id, F.col(f"m.{polygon_id}").alias(polygon_id), F.col("m.d").alias("distance"))
-        last = step >= farthest
-        if not last:
-            found = found.where(F.col("distance") <= step)
-        done = found if done is None else done.unionByName(found)
-        if last:
-            return done
-        open_ = open_.join(found.select(point_id), point_id, "left_anti")
-        step *= 4
-    return done
+    farthest = max(max(extent[2], span[2]) - min(extent[0], span[0]), max(extent[3], span[3]) - min(extent[1], span[1]), 1e-9)
+    step = max(size or cell_size(boxed), farthest / (1 << LEVELS))
+    steps = [step * 2**k for k in range(max(0, math.ceil(math.log2(2 * farthest / step))) + 1)]
+
+    def levelled(rows: DataFrame, levels: Column) -> DataFrame:
+        return rows.withColumn("_level", levels).withColumn("_step", F.lit(step) * F.pow(F.lit(2.0), F.col("_level")))
+
+    x, y, box = F.col("x"), F.col("y"), boxed.drop("polygon")
+    every = F.explode(F.sequence(F.lit(0), F.lit(len(steps) - 1)))
+    reach = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / F.col("_step")).cast("long") - 1, F.floor(F.col(high) / F.col("_step")).cast("long") + 1))
+    # a box of many cells is left to the levels at which it has few, and to the last
+    small = (F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")) <= COVER * F.col("_step")) | (F.col("_level") == len(steps) - 1)
+    held = levelled(box, every).where(small).withColumn("_cx", reach("xmin", "xmax")).withColumn("_cy", reach("ymin", "ymax"))
+    keys = ["_level", "_cx", "_cy"]
+    far = F.sqrt(F.pow(F.greatest(F.abs(x - F.col("xmin")), F.abs(x - F.col("xmax"))), 2) + F.pow(F.greatest(F.abs(y - F.col("ymin")), F.abs(y - F.col("ymax"))), 2))
+    cell = lambda rows: rows.withColumns({"_cx": F.floor(x / F.col("_step")).cast("long"), "_cy": F.floor(y / F.col("_step")).cast("long")})
+    some = held.select(*keys).distinct()
+    first = cell(levelled(open_, every)).join(some, keys, "left_semi").groupBy(point_id, "x", "y").agg(F.min("_level").alias("_level"))
+    bound = cell(levelled(first, F.col("_level"))).join(held.drop("_step"), keys).groupBy(point_id, "x", "y").agg(F.min(far).alias("_bound"))
+    wide = F.greatest(F.lit(0), F.least(F.lit(len(steps) - 1), F.ceil(F.log2(F.greatest("_bound", F.lit(step)) / step)))).cast("int")
+    # all boxes are needed here: those of many cells at a level are put into as many
+    cover_all = levelled(box, every).withColumn("_cx", reach("xmin", "xmax")).withColumn("_cy", reach("ymin", "ymax"))
+    near = cell(levelled(bound, wide)).join(cover_all.drop("_step"), keys)
+    gap = F.pow(F.greatest(F.col("xmin") - x, x - F.col("xmax"), F.lit(0.0)), 2) + F.pow(F.greatest(F.col("ymin") - y, y - F.col("ymax"), F.lit(0.0)), 2)
+    near = near.where(gap <= F.col("_bound") * F.col("_bound") * (1 + 1e-12)).select(point_id, "x", "y", polygon_id)
+    measured = near.join(boxed.select(polygon_id, "polygon"), polygon_id).select(point_id, polygon_id, planar.distance_to_polygon(x, y, F.col("polygon")).alias("d"))
+    best = measured.groupBy(point_id).agg(F.min(F.struct("d", polygon_id)).alias("m"))
+    return best.select(point_id, F.col(f"m.{polygon_id}").alias(polygon_id), F.col("m.d").alias("distance"))
 
 
 def batched(matches: DataFrame, batch_size: int, point_id: str = "point_id", polygon_id: str = "zone_id") -> DataFrame:

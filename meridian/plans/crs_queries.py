@@ -45,7 +45,7 @@ def web_mercator_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "pts").select("point_id", r(lat, 7).alias("lat"), r(lon, 7).alias("lon"))
 
 
-ZONE = "CASE WHEN lat >= 56 AND lat < 64 AND lon >= 3 AND lon < 12 THEN 32 WHEN lat >= 72 AND lat <= 84 AND lon >= 0 AND lon < 42 THEN CASE WHEN lon < 9 THEN 31 WHEN lon < 21 THEN 33 WHEN lon < 33 THEN 35 ELSE 37 END ELSE CAST(floor((lon+180)/6) AS INT) + 1 END"
+ZONE = "CASE WHEN lat >= 56 AND lat < 64 AND lon >= 3 AND lon < 12 THEN 32 WHEN lat >= 72 AND lat < 84 AND lon >= 0 AND lon < 42 THEN CASE WHEN lon < 9 THEN 31 WHEN lon < 21 THEN 33 WHEN lon < 33 THEN 35 ELSE 37 END ELSE CAST(floor((lon+180)/6) AS INT) + 1 END"
 
 
 @query("utm_zone", f"SELECT gid, {ZONE} AS zone, {ZONE} + CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END AS epsg FROM geopts")

@@ -86,24 +86,33 @@ def raster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.stats(cells(spark, sf_dir), META).withColumn("mean", r(F.col("mean")))
 
 
+def rows_of(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the raster, from its whole table."""
+    return cells(spark, sf_dir).agg(F.max("y") + 1).first()[0]
+
+
+#: The number of rows, for SQL.
+ROWS = "h AS (SELECT max(y) + 1 AS n FROM cells)"
+
+
 def _placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, B.BandMeta]:
-    """Points over a raster of 40 columns and 50 rows of cells of 50 x 40 units."""
-    meta = B.BandMeta(40, 50, nodata=-9999.0, transform=B.GeoTransform(-1000.0, 1000.0, 50.0, 40.0))
+    """Points over a raster of 40 columns and all its rows, of cells of 50 units across that share 2000 units down."""
+    meta = B.BandMeta(40, n := rows_of(spark, sf_dir), nodata=-9999.0, transform=B.GeoTransform(-1000.0, 1000.0, 50.0, 2000.0 / n))
     return view(spark, sf_dir, "pts").select("point_id", F.col("x").alias("wx"), F.col("y").alias("wy")), meta
 
 
-@query("raster_sample_nearest", f"WITH {L} SELECT point_id, l.v FROM pts p LEFT JOIN l ON l.x = floor((p.x+1000)/50) AND l.y = floor((1000-p.y)/40)")
+@query("raster_sample_nearest", f"WITH {L}, {ROWS} SELECT point_id, l.v FROM pts p CROSS JOIN h LEFT JOIN l ON l.x = floor((p.x+1000)/50) AND l.y = floor((1000-p.y)/(2000.0/n))")
 def raster_sample_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     points, meta = _placed(spark, sf_dir)
-    return B.sample_nearest(points, cells(spark, sf_dir).where("y < 50"), meta).select("point_id", "v")
+    return B.sample_nearest(points, cells(spark, sf_dir), meta).select("point_id", "v")
 
 
-@query("raster_sample_bilinear", f"""WITH {L}, f AS (SELECT point_id, (x+1000)/50 AS fx, (1000-y)/40 AS fy FROM pts), s AS (SELECT *, greatest(0, least(38, floor(fx-0.5))) AS ix, greatest(0, least(48, floor(fy-0.5))) AS iy FROM f),
-t AS (SELECT *, greatest(0.0, least(1.0, fx-0.5-ix)) AS tx, greatest(0.0, least(1.0, fy-0.5-iy)) AS ty FROM s)
-SELECT t.point_id, round(a.v*(1-tx)*(1-ty) + b.v*tx*(1-ty) + c.v*(1-tx)*ty + d.v*tx*ty, 3) AS v FROM t LEFT JOIN l a ON a.x = ix AND a.y = iy AND fx >= 0 AND fx < 40 AND fy >= 0 AND fy < 50 LEFT JOIN l b ON b.x = ix+1 AND b.y = iy LEFT JOIN l c ON c.x = ix AND c.y = iy+1 LEFT JOIN l d ON d.x = ix+1 AND d.y = iy+1""")
+@query("raster_sample_bilinear", f"""WITH {L}, {ROWS}, f AS (SELECT point_id, (x+1000)/50 AS fx, (1000-y)/(2000.0/n) AS fy, n FROM pts CROSS JOIN h), s AS (SELECT *, CASE WHEN fx <= 0.5 THEN 0 WHEN fx-0.5 >= 39 THEN 39 ELSE floor(fx-0.5) END AS ix, CASE WHEN fy <= 0.5 THEN 0 WHEN fy-0.5 >= n-1 THEN n-1 ELSE floor(fy-0.5) END AS iy FROM f),
+t AS (SELECT *, CASE WHEN fx <= 0.5 OR ix = 39 THEN 0 ELSE fx-0.5-ix END AS tx, CASE WHEN fy <= 0.5 OR iy = n-1 THEN 0 ELSE fy-0.5-iy END AS ty, least(ix+1, 39) AS jx, least(iy+1, n-1) AS jy FROM s)
+SELECT t.point_id, round(a.v*(1-tx)*(1-ty) + b.v*tx*(1-ty) + c.v*(1-tx)*ty + d.v*tx*ty, 3) AS v FROM t LEFT JOIN l a ON a.x = ix AND a.y = iy AND fx >= 0 AND fx < 40 AND fy >= 0 AND fy < n LEFT JOIN l b ON b.x = jx AND b.y = iy LEFT JOIN l c ON c.x = ix AND c.y = jy LEFT JOIN l d ON d.x = jx AND d.y = jy""")
 def raster_sample_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     points, meta = _placed(spark, sf_dir)
-    return B.sample_bilinear(points, cells(spark, sf_dir).where("y < 50"), meta, "point_id").select("point_id", r(F.col("v"), 3).alias("v"))
+    return B.sample_bilinear(points, cells(spark, sf_dir), meta, "point_id").select("point_id", r(F.col("v"), 3).alias("v"))
 
 
 @query("raster_downsample", f"WITH {L} SELECT CAST(floor(x/3) AS INT) AS x, CAST(floor(y/3) AS INT) AS y, round(coalesce(avg(v), -9999.0), 6) AS v FROM l GROUP BY 1, 2")
@@ -111,9 +120,10 @@ def raster_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.downsample(cells(spark, sf_dir), META, 3).select("x", "y", r(F.col("v")).alias("v"))
 
 
-@query("raster_resample", "SELECT CAST(t.x AS INT) AS x, CAST(u.y AS INT) AS y, v FROM range(100) t(x) CROSS JOIN range(20) u(y) JOIN cells c ON c.x = floor((t.x+0.5)*40/100) AND c.y = floor((u.y+0.5)*50/20)")
+@query("raster_resample", f"WITH {ROWS} SELECT CAST(t.x AS INT) AS x, CAST(u.y AS INT) AS y, v FROM range(100) t(x) CROSS JOIN (SELECT unnest(range(n // 2 + 1)) AS y FROM h) u CROSS JOIN h JOIN cells c ON c.x = floor((t.x+0.5)*40/100) AND c.y = floor((u.y+0.5)*n/(n // 2 + 1))")
 def raster_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.resample_nearest(cells(spark, sf_dir).where("y < 50"), B.BandMeta(40, 50), 100, 20)
+    n = rows_of(spark, sf_dir)
+    return B.resample_nearest(cells(spark, sf_dir), B.BandMeta(40, n), 100, n // 2 + 1)
 
 
 @query("zonal_stats", "WITH m AS (SELECT x, y, v, CAST(x*50-975 AS DOUBLE) AS wx, CAST(980-y*40 AS DOUBLE) AS wy FROM cells WHERE v <> -9999), i AS (SELECT m.x, m.y, m.v, e.zone_id, e.ring, CAST(sum(CASE WHEN (e.y1>m.wy)<>(e.y2>m.wy) THEN CASE WHEN m.wx < (e.x1-e.x2)*(m.wy-e.y2)/nullif(e.y1-e.y2,0)+e.x2 THEN 1 ELSE 0 END ELSE 0 END) AS BIGINT)%2 AS ins FROM m CROSS JOIN zone_edges e GROUP BY 1,2,3,4,5), k AS (SELECT x, y, v, zone_id FROM i GROUP BY 1,2,3,4 HAVING max(CASE WHEN ring=0 THEN ins ELSE 0 END)=1 AND max(CASE WHEN ring>0 THEN ins ELSE 0 END)=0) SELECT zone_id, count(*) AS n, round(avg(v), 6) AS mean, max(v) AS hi FROM k GROUP BY zone_id")
@@ -125,7 +135,7 @@ def zonal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FACE = """c AS (SELECT gid, lat, lon, cos(radians(lat))*cos(radians(lon)) AS x, cos(radians(lat))*sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM geopts),
 f AS (SELECT *, CASE WHEN abs(x) >= abs(y) AND abs(x) >= abs(z) THEN CASE WHEN x >= 0 THEN 0 ELSE 3 END WHEN abs(y) >= abs(z) THEN CASE WHEN y >= 0 THEN 1 ELSE 4 END ELSE CASE WHEN z >= 0 THEN 2 ELSE 5 END END AS face FROM c),
-u AS (SELECT *, CASE face WHEN 0 THEN y/x WHEN 1 THEN -x/y WHEN 2 THEN -x/z WHEN 3 THEN z/x WHEN 4 THEN z/y ELSE -y/z END AS u, CASE face WHEN 0 THEN z/x WHEN 1 THEN z/y WHEN 2 THEN -y/z WHEN 3 THEN y/x WHEN 4 THEN -x/y ELSE -x/z END AS v FROM f),
+u AS (SELECT *, CASE face % 3 WHEN 0 THEN y/x WHEN 1 THEN -x/y ELSE -x/z END AS u, CASE face % 3 WHEN 0 THEN z/x WHEN 1 THEN z/y ELSE -y/z END AS v FROM f),
 s AS (SELECT *, CASE WHEN u >= 0 THEN 0.5*sqrt(1+3*u) ELSE 1-0.5*sqrt(1-3*u) END AS s, CASE WHEN v >= 0 THEN 0.5*sqrt(1+3*v) ELSE 1-0.5*sqrt(1-3*v) END AS t FROM u),
 k AS (SELECT gid, lat, lon, face, CAST(floor(s*4096) AS BIGINT) AS i, CAST(floor(t*4096) AS BIGINT) AS j FROM s),
 m AS (SELECT *, (SELECT CAST(sum(((i >> b) & 1) * (1::BIGINT << (2*b)) + ((j >> b) & 1) * (1::BIGINT << (2*b+1))) AS BIGINT) FROM range(12) t(b)) AS pos FROM k)"""
@@ -157,7 +167,7 @@ def s2_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("s2_center", f"""WITH {FACE}, p AS (SELECT gid, face, (i+0.5)/4096 AS s, (j+0.5)/4096 AS t FROM k), w AS (SELECT gid, face, CASE WHEN s >= 0.5 THEN (4*s*s-1)/3 ELSE (1-4*(1-s)*(1-s))/3 END AS u, CASE WHEN t >= 0.5 THEN (4*t*t-1)/3 ELSE (1-4*(1-t)*(1-t))/3 END AS v FROM p),
-z AS (SELECT gid, CASE face WHEN 0 THEN 1 WHEN 1 THEN -u WHEN 2 THEN -u WHEN 3 THEN -1 WHEN 4 THEN v ELSE v END AS x, CASE face WHEN 0 THEN u WHEN 1 THEN 1 WHEN 2 THEN -v WHEN 3 THEN -v WHEN 4 THEN -1 ELSE u END AS y, CASE face WHEN 0 THEN v WHEN 1 THEN v WHEN 2 THEN 1 WHEN 3 THEN -u WHEN 4 THEN -u ELSE -1 END AS z FROM w)
+z AS (SELECT gid, CASE face WHEN 0 THEN 1 WHEN 1 THEN -u WHEN 2 THEN -u WHEN 3 THEN -1 ELSE u END AS x, CASE face WHEN 0 THEN u WHEN 1 THEN 1 WHEN 2 THEN -v WHEN 3 THEN -u WHEN 4 THEN -1 ELSE v END AS y, CASE face WHEN 0 THEN v WHEN 1 THEN v WHEN 2 THEN 1 WHEN 3 THEN -v WHEN 4 THEN -v ELSE -1 END AS z FROM w)
 SELECT gid, round(degrees(atan2(z, sqrt(x*x+y*y))), 7) AS lat, round(degrees(atan2(y, x)), 7) AS lon FROM z""")
 def s2_center(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = s2.with_center(celled(spark, sf_dir).select("gid", "cell"))

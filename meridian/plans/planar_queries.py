@@ -104,7 +104,7 @@ def polygon_intersection_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 DIST = """
 d AS (SELECT q.point_id, e.zone_id, min(sqrt((q.x - (e.x1 + t*(e.x2-e.x1)))*(q.x - (e.x1 + t*(e.x2-e.x1))) + (q.y - (e.y1 + t*(e.y2-e.y1)))*(q.y - (e.y1 + t*(e.y2-e.y1))))) AS d
  FROM (SELECT p.point_id, p.x, p.y, e.*, greatest(0.0, least(1.0, ((p.x-e.x1)*(e.x2-e.x1)+(p.y-e.y1)*(e.y2-e.y1)) / ((e.x2-e.x1)*(e.x2-e.x1)+(e.y2-e.y1)*(e.y2-e.y1)))) AS t
-       FROM pts p CROSS JOIN zone_edges e WHERE p.point_id % 10 = 0) q JOIN zone_edges e ON e.zone_id = q.zone_id AND e.ring = q.ring AND e.k = q.k GROUP BY 1, 2)"""
+       FROM pts p CROSS JOIN zone_edges e) q JOIN zone_edges e ON e.zone_id = q.zone_id AND e.ring = q.ring AND e.k = q.k GROUP BY 1, 2)"""
 
 
 @query("nearest_zone", f"WITH {DIST}, f AS (SELECT d.point_id, d.zone_id, CASE WHEN i.zone_id IS NULL THEN d.d ELSE 0 END AS d FROM d LEFT JOIN inside i ON i.point_id = d.point_id AND i.zone_id = d.zone_id), o AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY round(d, 9), zone_id) AS n FROM f) SELECT point_id, round(d, 6) AS distance FROM o WHERE n = 1")
@@ -113,13 +113,15 @@ def nearest_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("point_id", r(F.col("distance")).alias("distance"))
 
 
-@query("point_polygon_distance", f"WITH {DIST} SELECT d.point_id, d.zone_id, round(CASE WHEN i.zone_id IS NULL THEN d.d ELSE 0 END, 6) AS distance FROM d LEFT JOIN inside i ON i.point_id = d.point_id AND i.zone_id = d.zone_id WHERE d.point_id % 100 = 0")
+@query("point_polygon_distance", f"WITH {DIST}, c AS (SELECT count(*) AS n FROM zones) SELECT d.point_id, d.zone_id, round(CASE WHEN i.zone_id IS NULL THEN d.d ELSE 0 END, 6) AS distance FROM d JOIN c ON d.zone_id = 1 + d.point_id % n LEFT JOIN inside i ON i.point_id = d.point_id AND i.zone_id = d.zone_id")
 def point_polygon_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = view(spark, sf_dir, "pts").crossJoin(polygons(spark, sf_dir))  # the result is the distance of every pair
-    return pairs.select("point_id", "zone_id", r(P.distance_to_polygon(F.col("x"), F.col("y"), F.col("polygon"))).alias("distance"))
+    """Every point's distance to a zone that is assigned to it, one after another."""
+    zones = polygons(spark, sf_dir)
+    assigned = view(spark, sf_dir, "pts").withColumn("zone_id", 1 + F.col("point_id") % zones.count()).join(zones, "zone_id")
+    return assigned.select("point_id", "zone_id", r(P.distance_to_polygon(F.col("x"), F.col("y"), F.col("polygon"))).alias("distance"))
 
 
-@query("nearest_k", "WITH q AS (SELECT zone_id AS probe, cx, cy FROM zones WHERE zone_id % 5 = 0), d AS (SELECT probe, z.zone_id, sqrt(power(greatest(z.cx-z.h-q.cx, 0.0, q.cx-z.cx-z.h), 2) + power(greatest(z.cy-z.h-q.cy, 0.0, q.cy-z.cy-z.h), 2)) AS d FROM q CROSS JOIN zones z), o AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY d, zone_id) AS rank FROM d) SELECT probe, zone_id, round(d, 6) AS d, CAST(rank AS INT) AS rank FROM o WHERE rank <= 5")
+@query("nearest_k", "WITH q AS (SELECT zone_id AS probe, cx, cy FROM zones), d AS (SELECT probe, z.zone_id, sqrt(power(greatest(z.cx-z.h-q.cx, 0.0, q.cx-z.cx-z.h), 2) + power(greatest(z.cy-z.h-q.cy, 0.0, q.cy-z.cy-z.h), 2)) AS d FROM q CROSS JOIN zones z), o AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY d, zone_id) AS rank FROM d) SELECT probe, zone_id, round(d, 6) AS d, CAST(rank AS INT) AS rank FROM o WHERE rank <= 5")
 def nearest_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meridian.operators.nearest import nearest_boxes
 
@@ -249,13 +251,13 @@ def segment_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("point_id", r(F.col("p.x"), 5).alias("x"), r(F.col("p.y"), 5).alias("y"))
 
 
-@query("linestrings_intersect", f"WITH {SEGS}, s AS (SELECT * FROM g WHERE x2 IS NOT NULL), m AS (SELECT DISTINCT a.line_id FROM s a JOIN s b ON b.line_id = a.line_id + 1 WHERE ((b.x1-a.x1)*(b.y2-b.y1)-(b.y1-a.y1)*(b.x2-b.x1)) / nullif((a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1), 0) BETWEEN 0 AND 1 AND ((b.x1-a.x1)*(a.y2-a.y1)-(b.y1-a.y1)*(a.x2-a.x1)) / nullif((a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1), 0) BETWEEN 0 AND 1) SELECT line_id FROM m WHERE line_id % 5 = 0")
+@query("linestrings_intersect", f"WITH {SEGS}, s AS (SELECT * FROM g WHERE x2 IS NOT NULL), m AS (SELECT DISTINCT a.line_id FROM s a JOIN s b ON b.line_id = a.line_id + 1 WHERE ((b.x1-a.x1)*(b.y2-b.y1)-(b.y1-a.y1)*(b.x2-b.x1)) / nullif((a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1), 0) BETWEEN 0 AND 1 AND ((b.x1-a.x1)*(a.y2-a.y1)-(b.y1-a.y1)*(a.x2-a.x1)) / nullif((a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1), 0) BETWEEN 0 AND 1) SELECT line_id FROM m")
 def linestrings_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = lines(spark, sf_dir)
     b = lines(spark, sf_dir).select((F.col("line_id") - 1).alias("line_id"), F.col("line").alias("other"))
     return a.join(b, "line_id").where(P.lines_intersect(F.col("line"), F.col("other"))).select("line_id")
 
 
-@query("line_intersects_polygon", f"WITH {SEGS}, s AS (SELECT * FROM g WHERE x2 IS NOT NULL AND line_id % 50 = 0), m AS (SELECT DISTINCT a.line_id, b.zone_id FROM s a JOIN zone_edges b ON true WHERE ((b.x1-a.x1)*(b.y2-b.y1)-(b.y1-a.y1)*(b.x2-b.x1)) / nullif((a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1), 0) BETWEEN 0 AND 1 AND ((b.x1-a.x1)*(a.y2-a.y1)-(b.y1-a.y1)*(a.x2-a.x1)) / nullif((a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1), 0) BETWEEN 0 AND 1 UNION SELECT DISTINCT l.line_id, i.zone_id FROM line_pts l JOIN inside i ON i.point_id = l.k WHERE l.line_id % 50 = 0) SELECT line_id, zone_id FROM m")
+@query("line_intersects_polygon", f"WITH {SEGS}, s AS (SELECT * FROM g WHERE x2 IS NOT NULL), m AS (SELECT DISTINCT a.line_id, b.zone_id FROM s a JOIN zone_edges b ON true WHERE ((b.x1-a.x1)*(b.y2-b.y1)-(b.y1-a.y1)*(b.x2-b.x1)) / nullif((a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1), 0) BETWEEN 0 AND 1 AND ((b.x1-a.x1)*(a.y2-a.y1)-(b.y1-a.y1)*(a.x2-a.x1)) / nullif((a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1), 0) BETWEEN 0 AND 1 UNION SELECT DISTINCT l.line_id, i.zone_id FROM line_pts l JOIN inside i ON i.point_id = l.k) SELECT line_id, zone_id FROM m")
 def line_intersects_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.line_polygon_join(lines(spark, sf_dir), polygons(spark, sf_dir), SIZE)

@@ -204,13 +204,16 @@ def sample_nearest(positions: DataFrame, cells: DataFrame, m: BandMeta) -> DataF
 
 
 def sample_bilinear(positions: DataFrame, cells: DataFrame, m: BandMeta, key: str) -> DataFrame:
-    """(key, v) from the four cells around, clamped at the edges; null outside or if one of the four is nodata."""
+    """(key, v) from the four cells around; null outside or if one of the four is nodata.
+
+    In the last half column or row the four are the edge's cells alone.
+    """
     fx, fy = m.transform.to_cell(F.col("wx"), F.col("wy"))
     inside = (fx >= 0) & (fx < m.width) & (fy >= 0) & (fy < m.height)
 
     def split(f: Column, n: int) -> tuple[Column, Column]:
-        low = F.greatest(F.lit(0), F.least(F.lit(max(n - 2, 0)), F.floor(f - 0.5))).cast("int")
-        return low, F.greatest(F.lit(0.0), F.least(F.lit(1.0), f - 0.5 - low))
+        low = F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(f - 0.5))).cast("int")
+        return low, F.when((f <= 0.5) | (low == n - 1), 0.0).otherwise(f - 0.5 - low)
 
     ix, tx = split(fx, m.width)
     iy, ty = split(fy, m.height)
