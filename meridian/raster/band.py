@@ -63,6 +63,12 @@ class BandMeta:
     transform: GeoTransform = GeoTransform()
     epsg: int | None = None
 
+    @property
+    def extent(self) -> tuple[float, float, float, float]:
+        """(xmin, ymin, xmax, ymax) in world units."""
+        g = self.transform
+        return g.origin_x, g.origin_y - self.height * g.cell_height, g.origin_x + self.width * g.cell_width, g.origin_y
+
     @property
     def missing(self) -> float:
         """What a result without a value holds: the sentinel, or 0."""
@@ -225,6 +231,69 @@ def sample_bilinear(positions: DataFrame, cells: DataFrame, m: BandMeta, key: st
     return positions.select(key).join(summed, key, "left")
 
 
+def sample_average(areas: DataFrame, cells: DataFrame, m: BandMeta, key: str) -> DataFrame:
+    """(key, v): mean of the valid cells under world rectangles (key, xmin, ymin, xmax, ymax); null where there are none.
+
+    At least the cell of the upper left corner counts, far edges are exclusive, and rectangles outside
+    fall on the nearest edge cells.
+    """
+    left, top = m.transform.to_cell(F.col("xmin"), F.col("ymax"))
+    right, bottom = m.transform.to_cell(F.col("xmax"), F.col("ymin"))
+
+    def span(a: Column, b: Column, n: int) -> Column:
+        first = F.greatest(F.lit(0), F.least(F.floor(a), F.lit(n - 1)))
+        end = F.greatest(F.greatest(F.lit(1), F.least(F.ceil(b), F.lit(n))), first + 1)
+        return F.sequence(first.cast("int"), (end - 1).cast("int"))
+
+    finite = F.lit(True)
+    for c in (left, top, right, bottom):
+        finite = finite & (F.abs(c) < float("inf"))
+    under = areas.where(finite).select(key, F.explode(span(left, right, m.width)).alias("x"), span(top, bottom, m.height).alias("_ys")).select(key, "x", F.explode("_ys").alias("y"))
+    found = under.join(cells.select("x", "y", m.valid(F.col("v")).alias("v")), ["x", "y"]).groupBy(key).agg(F.avg("v").alias("v"))
+    return areas.select(key).join(found, key, "left")
+
+
+def resample_to(cells: DataFrame, m: BandMeta, target: BandMeta, method: str = "nearest") -> DataFrame:
+    """Values on any other grid of the same coordinate system: its size and transform are those of ``target``.
+
+    ``method``: nearest or bilinear at the centres of the target's cells, or average over their areas.
+    Cells without a value get the source's sentinel or 0; cell type and sentinel are the source's.
+    """
+    if target.width < 1 or target.height < 1:
+        raise ValueError("the target grid has no cells")
+    session = cells.sparkSession
+    at = session.range(target.width * target.height).select(F.col("id").alias("_t"), (F.col("id") % target.width).cast("int").alias("_tx"), F.floor(F.col("id") / target.width).cast("int").alias("_ty"))
+    if method == "average":
+        x0, y1 = target.transform.to_world(F.col("_tx"), F.col("_ty"))
+        x1, y0 = target.transform.to_world(F.col("_tx") + 1, F.col("_ty") + 1)
+        found = sample_average(at.select("_t", x0.alias("xmin"), y0.alias("ymin"), x1.alias("xmax"), y1.alias("ymax")), cells, m, "_t")
+    elif method in ("nearest", "bilinear"):
+        wx, wy = target.transform.center(F.col("_tx"), F.col("_ty"))
+        placed = at.select("_t", wx.alias("wx"), wy.alias("wy"))
+        found = sample_nearest(placed, cells, m).select("_t", "v") if method == "nearest" else sample_bilinear(placed, cells, m, "_t")
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    value = F.col("v") if method == "nearest" else m.narrow(F.col("v"))
+    return found.select((F.col("_t") % target.width).cast("int").alias("x"), F.floor(F.col("_t") / target.width).cast("int").alias("y"), m.filled(value).alias("v"))
+
+
+def resample(cells: DataFrame, m: BandMeta, width: int, height: int, method: str = "nearest") -> DataFrame:
+    """The same extent on a grid of another size."""
+    if width < 1 or height < 1:
+        raise ValueError("the target grid has no cells")
+    g = m.transform
+    sized = replace(g, cell_width=g.cell_width * m.width / width, cell_height=g.cell_height * m.height / height)
+    return resample_to(cells, m, replace(m, width=width, height=height, transform=sized), method)
+
+
+def overview(cells: DataFrame, m: BandMeta, factor: int, method: str = "average") -> DataFrame:
+    """Cells ``factor`` times as wide and high by any method; :func:`downsample` is the shorter way to averages."""
+    if factor < 1:
+        raise ValueError("the factor must be 1 or more")
+    target = replace(m, width=-(-m.width // factor), height=-(-m.height // factor), transform=m.transform.downsampled(factor))
+    return resample_to(cells, m, target, method)
+
+
 def downsample(cells: DataFrame, m: BandMeta, factor: int) -> DataFrame:
     """Average of the valid cells of each factor x factor block; the last blocks may be smaller."""
     if factor < 1:
