@@ -15,7 +15,7 @@ FEATURES = "path string, feature_id long, geom binary, props string"
 _NAMES = ["path", "feature_id", "geom", "props"]
 
 # Names and endings of formats.
-FORMATS = {"geojson": "geojson", "json": "geojson", "wkt": "wkt", "wkb": "wkb"}
+FORMATS = {"geojson": "geojson", "json": "geojson", "wkt": "wkt", "wkb": "wkb", "shp": "shp", "shapefile": "shp", "gpkg": "gpkg", "geopackage": "gpkg"}
 
 
 def format_of(path_or_name: str) -> str:
@@ -79,7 +79,30 @@ def to_geojson_lines(features: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    return {"geojson": read_geojson, "wkt": read_wkt, "wkb": read_wkb}[format_of(fmt or path)](spark, path)
+    """Features of files of any format, by its name or the path's ending."""
+    from .geopackage import read_gpkg
+    from .shapefile import read_shapefile
+
+    return {"geojson": read_geojson, "wkt": read_wkt, "wkb": read_wkb, "shp": read_shapefile, "gpkg": read_gpkg}[format_of(fmt or path)](spark, path)
+
+
+def write(features: DataFrame, folder: str, fmt: str) -> None:
+    """Features (geom, props) as files under a folder, a file for each partition: Features in lines (GeoJSON), WKT lines, shapefiles or GeoPackages."""
+    from meridian.functions.udf import st_astext
+
+    from .geopackage import write_gpkg
+    from .shapefile import write_shapefile
+
+    kind = format_of(fmt)
+    if kind == "geojson":
+        to_geojson_lines(features).write.text(folder)
+    elif kind == "wkt":
+        features.where("geom is not null").select(st_astext(F.col("geom")).alias("value")).write.text(folder)
+    elif kind in ("shp", "gpkg"):
+        made = write_shapefile(features, folder) if kind == "shp" else write_gpkg(features, folder)
+        made.write.format("noop").mode("overwrite").save()
+    else:
+        raise ValueError(f"{fmt} can't be written")
 
 
 def summarize(features: DataFrame) -> DataFrame:
