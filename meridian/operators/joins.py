@@ -140,11 +140,31 @@ def nearest_polygon_join(points: DataFrame, polygons: DataFrame, size: float | N
     near = cell(levelled(bound, wide)).join(cover_all.drop("_step"), keys)
     gap = F.pow(F.greatest(F.col("xmin") - x, x - F.col("xmax"), F.lit(0.0)), 2) + F.pow(F.greatest(F.col("ymin") - y, y - F.col("ymax"), F.lit(0.0)), 2)
     near = near.where(gap <= F.col("_bound") * F.col("_bound") * (1 + 1e-12)).select(point_id, "x", "y", polygon_id)
-    measured = near.join(boxed.select(polygon_id, "polygon"), polygon_id).select(point_id, polygon_id, planar.distance_to_polygon(x, y, F.col("polygon")).alias("d"))
+    measured = _distances(near, boxed.select(polygon_id, "polygon"), point_id, polygon_id)
     best = measured.groupBy(point_id).agg(F.min(F.struct("d", polygon_id)).alias("m"))
     return best.select(point_id, F.col(f"m.{polygon_id}").alias(polygon_id), F.col("m.d").alias("distance"))
 
 
+def _distances(pairs: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str) -> DataFrame:
+    """(point, polygon, ``d``) for pairs (point, x, y, polygon), each of which occurs once.
+
+    A row for each edge, so that distances and crossings are generated code; edges of a pair meet in
+    the aggregate's map side.  The ray from a point crosses an odd number of edges of the rings around
+    it: hashes of ring numbers, combined by exclusive or, leave that of the outer ring if no hole is among them.
+    """
+    rings = polygons.select(polygon_id, F.posexplode("polygon").alias("_ring", "_points"))
+    edges = rings.select(polygon_id, F.xxhash64("_ring").alias("_h"), F.explode(planar.edges(F.col("_points"))).alias("_e")).select(polygon_id, "_h", "_e.*")
+    x, y, e = F.col("x"), F.col("y"), {c: F.col(c) for c in ("x1", "y1", "x2", "y2")}
+    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+    square = dx * dx + dy * dy
+    at = F.when(square < planar.TINY, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide((x - e["x1"]) * dx + (y - e["y1"]) * dy, square))))
+    placed = pairs.join(edges, polygon_id).withColumn("_t", at)
+    off = placed.withColumns({"_dx": x - (e["x1"] + F.col("_t") * dx), "_dy": y - (e["y1"] + F.col("_t") * dy)})
+    crossed = F.when(planar.crosses_ray(x, y, e), F.col("_h")).otherwise(F.lit(0).cast("long"))
+    met = off.groupBy(point_id, polygon_id).agg(F.min(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy")).alias("_d"), F.bit_xor(crossed).alias("_x"))
+    return met.select(point_id, polygon_id, F.when(F.col("_x") == F.xxhash64(F.lit(0)), 0.0).otherwise(F.sqrt("_d")).alias("d"))
+
+
 def batched(matches: DataFrame, batch_size: int, point_id: str = "point_id", polygon_id: str = "zone_id") -> DataFrame:
     """Matches in the order of their ids with the number of their batch; 0 or less gives no rows."""
     if batch_size <= 0:
