@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Views of positions, from which much is computed.
+POSITIONS = ("pts", "geopts")
 TABLES = ("orders", "supplier", "customer", "part", "events")
 
 VIEWS = {
@@ -59,8 +61,14 @@ def with_views(sql: str) -> str:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view over the Parquet tables of ``sf_dir``."""
+    """A derived view over the Parquet tables of ``sf_dir``.
+
+    Positions from fewer files than there are cores are dealt over all of them: a small file is one
+    task, and what is computed for each position costs more than moving it.
+    """
     sql = with_views(f"SELECT * FROM {name}")
     for t in TABLES:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 parquet.`{sf_dir}/{t}.parquet`", sql)
-    return spark.sql(sql)
+    rows = spark.sql(sql)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in POSITIONS and len(rows.inputFiles()) < cores else rows
