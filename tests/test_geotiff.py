@@ -151,3 +151,26 @@ def test_remote_window_reads_few_ranges(spark):
     server.shutdown()
     assert got == {(x, y): float(grid[y, x]) for x in range(17, 31) for y in range(20, 30)}
     assert asked.count(16 * 16 * 4) == 1 and sum(asked) < len(content) / 4
+
+
+def test_lzw_codes_grow():
+    """Against a plain encoder whose codes grow up to twelve bits, with the early change and a full table."""
+    rng = np.random.default_rng(3)
+    data = bytes(rng.integers(0, 6, 40_000, dtype=np.uint8)) + bytes(rng.integers(0, 256, 9_000, dtype=np.uint8))
+    bits, table, width, held = [f"{256:09b}"], {bytes([k]): k for k in range(256)}, 9, b""
+    for b in data:
+        if held + bytes([b]) in table:
+            held += bytes([b])
+            continue
+        bits.append(f"{table[held]:0{width}b}")
+        table[held + bytes([b])] = len(table) + 2
+        held = bytes([b])
+        n = len(table) + 2
+        if n >= 4095:
+            bits.append(f"{256:012b}")
+            table, width = {bytes([k]): k for k in range(256)}, 9
+        elif n >= 1 << width:
+            width += 1
+    text = "".join([*bits, f"{table[held]:0{width}b}", f"{257:0{width}b}"])
+    raw = int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big")
+    assert T.unpack_lzw(raw, len(data)) == data
