@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontam, embdedup, lines, neardup, packing, quality, suffixes, tokenfile, toxicity, urls
+from . import crosstok, decontam, embdedup, fim, lines, neardup, packing, quality, rlz, suffixes, tokenfile, toxicity, urls
 from .common import Work, fold, table
 
 
@@ -75,6 +75,23 @@ def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(Work(spark, "op10"), table(spark, sf_dir, "documents"))
 
 
+def op11_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents less every word of a 35-word window that also starts anywhere else."""
+    parsed = rlz.parse(Work(spark, "op11"), table(spark, sf_dir, "documents"))
+    return parsed.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers over all documents, with corpus-wide counts of linked ids."""
+    return crosstok.alignment(Work(spark, "op12"), table(spark, sf_dir, "documents"))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents arranged for filling in the middle, with checksums of the outputs and of the texts rebuilt from them."""
+    done = fim.transform(table(spark, sf_dir, "documents"), with_output=False)
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_binary_codes": op2_binary_codes,
@@ -86,10 +103,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_line_runs": op9_line_runs,
     "op10_probminhash": op10_probminhash,
+    "op11_rlz": op11_rlz,
+    "op12_alignment": op12_alignment,
+    "op13_fim": op13_fim,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_binary_codes": embdedup.ORACLE_SQL,
     "op5_redirects": urls.ORACLE_SQL,
     "op9_line_runs": lines.ORACLE_SQL,
+    "op13_fim": fim.ORACLE_SQL,
 }
