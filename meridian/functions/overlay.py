@@ -1,89 +1,117 @@
-"""Overlay of polygons of any shape, with holes, as native expressions.
+"""Overlay of polygons and multipolygons of any shape, with holes: shapes, areas and the relations that follow from areas.
 
-The area of a common part follows from its boundary (Green's theorem): the parts of either boundary
-that lie inside the other polygon, and shared stretches that run the same way, once.  Each edge is cut
-where edges of the other polygon meet it, and the middle of a part says where it lies.  Rings may run
-either way; outer rings are turned to the left and holes to the right first.  Null or empty polygons
-have an area of 0 in common with others.
+Both shapes are cut where they meet and put together again from the pieces that bound the result
+(:mod:`.arrangement`), a batch of pairs at a time.  Results are multipolygons (arrays of polygons): outer rings run
+counter-clockwise, holes clockwise, rings are open and don't touch themselves.  Rings of the input may run either way; a
+point is inside if an odd number of rings is around it.  A null shape gives null, an empty one is the empty set.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import planar
-from .binding import bind, named
+from . import batches, planar
+from .arrangement import KEEP, Arrangement, Segments
+from .binding import named
 
-#: Relative distance up to which a point counts as on an edge.
-ON = 1e-10
+MULTIPOLYGON = f"array<{planar.POLYGON}>"
+#: Bytes of coordinates that are overlaid together.
+AT_ONCE = 8 << 20
 
 
-def oriented(polygon: Column) -> Column:
-    """All edges, with the outer ring to the left and holes to the right."""
+def sliced(run: Callable[..., pa.Array], *columns: pa.Array) -> pa.Array:
+    """``run`` on slices of the columns of at most about AT_ONCE bytes."""
+    columns = tuple(batches.whole(c) for c in columns)
+    n = len(columns[0])
+    step = max(1, int(n * AT_ONCE / max(1, sum(c.nbytes for c in columns))))
+    done = [run(*(c.slice(at, step) for c in columns)) for at in range(0, n, step)] or [run(*columns)]
+    return pa.concat_arrays(done)
 
-    def turned(ring: Column, k: Column) -> Column:
-        right = planar.ring_signed_area(ring) < 0
-        return planar.edges(F.when(right == (k == 0), F.reverse(ring)).otherwise(ring))
 
-    return F.filter(F.flatten(F.transform(polygon, turned)), lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"]))
+def _null(*columns: pa.Array) -> np.ndarray:
+    return np.logical_or.reduce([c.is_null().to_numpy(zero_copy_only=False) for c in columns])
 
 
-def _scale(e: Column) -> Column:
-    return F.greatest(*[F.abs(e[c]) for c in ("x1", "y1", "x2", "y2")], F.lit(1.0))
+def _clip(operation: str) -> Callable[[Column, Column], Column]:
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        made = Arrangement(Segments.of([batches.multi(a, 0), batches.multi(b, 1)]), len(a))
+        return batches.multipolygons(made.polygons(KEEP[operation]), _null(a, b))
 
+    def call(a: pa.Array, b: pa.Array) -> pa.Array:
+        return sliced(run, a, b)
 
-def _on(e: Column, x: Column, y: Column) -> Column:
-    """Whether a point lies on an edge."""
-    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-    tol = ON * _scale(e)
-    off = F.abs(dx * (y - e["y1"]) - dy * (x - e["x1"])) <= tol * F.sqrt(dx * dx + dy * dy)
-    return off & (x >= F.least(e["x1"], e["x2"]) - tol) & (x <= F.greatest(e["x1"], e["x2"]) + tol) & (y >= F.least(e["y1"], e["y2"]) - tol) & (y <= F.greatest(e["y1"], e["y2"]) + tol)
+    return F.arrow_udf(call, MULTIPOLYGON)
 
 
-def _cuts(e: Column, others: Column) -> Column:
-    """Sorted places (0 to 1) on an edge where other edges cross it or end on it."""
-    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-    along = lambda x, y: ((x - e["x1"]) * dx + (y - e["y1"]) * dy) / (dx * dx + dy * dy)
+def clip_multi(a: Column, b: Column, operation: str) -> Column:
+    """The overlay of two multipolygons: ``union``, ``intersection``, ``difference`` or ``symmetric_difference``."""
+    if operation not in KEEP:
+        raise ValueError(f"operation must be one of {', '.join(KEEP)}")
+    return _clip(operation)(a, b)
 
-    def places(o: Column) -> Column:
-        ox, oy = o["x2"] - o["x1"], o["y2"] - o["y1"]
-        den = dx * oy - dy * ox
-        t = F.try_divide((o["x1"] - e["x1"]) * oy - (o["y1"] - e["y1"]) * ox, den)
-        u = F.try_divide((o["x1"] - e["x1"]) * dy - (o["y1"] - e["y1"]) * dx, den)
-        ends = [F.when(_on(e, o[f"x{k}"], o[f"y{k}"]), along(o[f"x{k}"], o[f"y{k}"])) for k in (1, 2)]
-        return F.array(F.when((u >= 0) & (u <= 1), t), *ends)
 
-    inner = F.filter(F.flatten(F.transform(others, places)), lambda t: (t > 0) & (t < 1))
-    return F.array_sort(F.array_union(F.array(F.lit(0.0), F.lit(1.0)), inner))
+def clip(a: Column, b: Column, operation: str) -> Column:
+    """The overlay of two polygons."""
+    one = lambda p: F.when(p.isNotNull(), F.array(p))
+    return clip_multi(one(a), one(b), operation)
 
 
-def _parts(mine: Column, other: Column, polygon: Column, shared: bool) -> Column:
-    """Twice the area under the parts of ``mine`` that bound the common part."""
+def union(a: Column, b: Column) -> Column:
+    return clip(a, b, "union")
 
-    def one(e: Column) -> Column:
-        def span(a: Column, b: Column) -> Column:
-            at = lambda t: (e["x1"] + t * (e["x2"] - e["x1"]), e["y1"] + t * (e["y2"] - e["y1"]))
-            (x1, y1), (x2, y2), (x, y) = at(a), at(b), at((a + b) / 2)
-            border = F.exists(other, lambda o: _on(o, x, y))
-            same = F.exists(other, lambda o: _on(o, x, y) & ((o["x2"] - o["x1"]) * (e["x2"] - e["x1"]) + (o["y2"] - o["y1"]) * (e["y2"] - e["y1"]) > 0))
-            counts = F.when(border, same if shared else F.lit(False)).otherwise(planar.point_in_polygon(x, y, polygon))
-            return F.when(counts, x1 * y2 - x2 * y1).otherwise(0.0)
 
-        return bind(_cuts(e, other), lambda t: F.aggregate(F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t) - 1), span), F.lit(0.0), lambda acc, v: acc + v))
+def intersection(a: Column, b: Column) -> Column:
+    return clip(a, b, "intersection")
 
-    return F.aggregate(F.transform(mine, one), F.lit(0.0), lambda acc, v: acc + v)
 
+def difference(a: Column, b: Column) -> Column:
+    return clip(a, b, "difference")
+
+
+def symmetric_difference(a: Column, b: Column) -> Column:
+    return clip(a, b, "symmetric_difference")
+
+
+def _turned(column: pa.Array, side: int) -> Segments:
+    """Segments of multipolygons with outer rings to the left and holes to the right."""
+    polygons, owner = batches.elements(column, np.arange(len(column)))
+    parts, of = batches.elements(polygons, np.arange(len(polygons)))
+    s = batches.rings(pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1), pa.int32()), parts), side)
+    hole = np.ones(len(parts), bool)
+    hole[np.searchsorted(of, np.unique(of))] = False
+    x1, y1, x2, y2 = s.xy.T
+    twice = np.bincount(s.group, x1 * y2 - x2 * y1, len(parts))
+    swap = ((twice > 0) == hole)[s.group]
+    xy = np.where(swap[:, None], s.xy[:, [2, 3, 0, 1]], s.xy)
+    return Segments(owner[of][s.group], s.side, s.kind, xy, s.group)
 
-def intersection_area(a: Column, b: Column) -> Column:
-    def area(p: Column) -> Column:
-        return F.greatest((_parts(p["ea"], p["eb"], p["b"], True) + _parts(p["eb"], p["ea"], p["a"], False)) / 2, F.lit(0.0))
 
-    return F.coalesce(bind(named(a=a, b=b, ea=oriented(a), eb=oriented(b)), area), F.lit(0.0))
+def union_all(shapes: Column) -> Column:
+    """The union of any number of polygons (an array of polygons, which may overlap) as one multipolygon."""
+    keep = np.array([[False, False], [True, True]])
+
+    def run(column: pa.Array) -> pa.Array:
+        made = Arrangement(_turned(column, 0), len(column), (True, False))
+        return batches.multipolygons(made.polygons(keep), _null(column))
+
+    def call(column: pa.Array) -> pa.Array:
+        return sliced(run, column)
+
+    return F.arrow_udf(call, MULTIPOLYGON)(shapes)
+
+
+def intersection_area(a: Column, b: Column) -> Column:
+    """0 for null and empty polygons."""
+    return F.coalesce(planar.multipolygon_area(intersection(a, b)), F.lit(0.0))
 
 
 def areas(a: Column, b: Column) -> Column:
-    """Struct of the areas of ``a``, of ``b`` and of their common part, from which all overlays follow."""
+    """Struct of the areas of ``a``, of ``b`` and of their common part."""
     return named(a=planar.polygon_area(a), b=planar.polygon_area(b), both=intersection_area(a, b))
 
 

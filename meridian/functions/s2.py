@@ -7,6 +7,11 @@ signed long, so faces 4 and 5 are negative; :func:`order_key` sorts as unsigned.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,10 +130,7 @@ def with_center(df: DataFrame, cell: str = "cell") -> DataFrame:
     out = out.withColumns({"_i": i, "_j": j, "_f": face(c)})
     side = F.pow(F.lit(2.0), F.col("_level"))
     out = out.withColumns({"_u": _uv((F.col("_i") + 0.5) / side), "_v": _uv((F.col("_j") + 0.5) / side)})
-    f, u, v, one = F.col("_f"), F.col("_u"), F.col("_v"), F.lit(1.0)
-    xyz = [(one, u, v), (-u, one, v), (-u, -v, one), (-one, -u, -v), (u, -one, -v), (u, v, -one)]
-    axes = [F.coalesce(*[F.when(f == n, p[k]) for n, p in enumerate(xyz)]) for k in range(3)]
-    out = out.withColumns(dict(zip(("_x", "_y", "_z"), axes, strict=True)))
+    out = out.withColumns(dict(zip(("_x", "_y", "_z"), _axes(F.col("_f"), F.col("_u"), F.col("_v")), strict=True)))
     x, y, z = F.col("_x"), F.col("_y"), F.col("_z")
     out = out.withColumns({"lat": F.degrees(F.atan2(z, F.sqrt(x * x + y * y))), "lon": F.degrees(F.atan2(y, x))})
     return out.drop("_level", "_i", "_j", "_f", "_u", "_v", "_x", "_y", "_z")
@@ -168,3 +170,130 @@ def quadkey(x: Column, y: Column, bounds: tuple[float, float, float, float], dep
     code = spread(index(x, x0, x1)).bitwiseOR(F.shiftleft(spread(index(y, y0, y1)), 1))
     digits = F.transform(F.sequence(F.lit(depth - 1), F.lit(0), F.lit(-1)), lambda d: F.call_function("shiftright", code, (2 * d).cast("int")).bitwiseAND(_long(3)).cast("string"))
     return F.when((x >= x0) & (x <= x1) & (y >= y0) & (y <= y1), F.array_join(digits, ""))
+
+
+def neighbour(cell: Column, di: Column | int, dj: Column | int) -> Column:
+    """The cell of the same level whose centre is ``di`` and ``dj`` cells away, across edges of the cube too; at its corners steps aren't each other's inverses."""
+
+    def placed(c: Column) -> Column:
+        return bind(F.struct(level(c).alias("l"), face(c).alias("f"), c.alias("c")), located)
+
+    def located(q: Column) -> Column:
+        i, j = ij(q["c"], q["l"])
+        side = F.pow(F.lit(2.0), q["l"])
+        return bind(F.struct(q["l"].alias("l"), q["f"].alias("f"), _uv((i + (0.5 + di)) / side).alias("u"), _uv((j + (0.5 + dj)) / side).alias("v")), turned)
+
+    def turned(q: Column) -> Column:
+        axes = _axes(q["f"], q["u"], q["v"])
+        back = lambda p: F.struct(*[c.alias(n) for c, n in zip(_face_uv(p["x"], p["y"], p["z"]), "fuv", strict=True)])
+        landed = lambda p: F.struct(back(p).alias("at"), q["l"].alias("l"))
+        return bind(bind(F.struct(*[a.alias(n) for a, n in zip(axes, "xyz", strict=True)]), landed), named_id)
+
+    def named_id(q: Column) -> Column:
+        index = lambda w: F.greatest(F.lit(0), F.least(F.lit((1 << MAX_LEVEL) - 1), F.floor(_st(w) * float(1 << MAX_LEVEL)))).cast("long")
+        drop = F.lit(MAX_LEVEL) - q["l"]
+        i, j = (F.call_function("shiftright", index(q["at"][k]), drop) for k in "uv")
+        lowest = 2 * drop
+        position = F.call_function("shiftleft", spread(i).bitwiseOR(F.shiftleft(spread(j), 1)), lowest + 1)
+        return F.shiftleft(q["at"]["f"].cast("long"), 61).bitwiseOR(position).bitwiseOR(F.call_function("shiftleft", _long(1), lowest))
+
+    return bind(cell, placed)
+
+
+def _axes(f: Column, u: Column, v: Column) -> list[Column]:
+    """The direction (x, y, z) of a place on a face."""
+    one = F.lit(1.0)
+    xyz = [(one, u, v), (-u, one, v), (-u, -v, one), (-one, -u, -v), (u, -one, -v), (u, v, -one)]
+    return [F.coalesce(*[F.when(f == n, p[k]) for n, p in enumerate(xyz)]) for k in range(3)]
+
+
+#: No cell of a level reaches farther from its centre than this over 2**level, in radians.
+REACH = 1.3
+#: Cells of one polygon that are looked at together.
+CELLS_AT_ONCE = 200_000
+
+
+def _centres(face: np.ndarray, i: np.ndarray, j: np.ndarray, at_level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Latitude and longitude of cells' centres in degrees."""
+    back = lambda s: np.where(s >= 0.5, 4 * s * s - 1, 1 - 4 * (1 - s) * (1 - s)) / 3
+    u, v = back((i + 0.5) / (1 << at_level)), back((j + 0.5) / (1 << at_level))
+    one = np.ones_like(u)
+    x, y, z = (np.choose(face, c) for c in ([one, -u, -u, -one, u, u], [u, one, -v, -u, -one, v], [v, v, one, -v, -v, -one]))
+    return np.degrees(np.arctan2(z, np.hypot(x, y))), np.degrees(np.arctan2(y, x))
+
+
+def _ids(face: np.ndarray, i: np.ndarray, j: np.ndarray, at_level: int) -> np.ndarray:
+    def spread_bits(v: np.ndarray) -> np.ndarray:
+        v = v.astype(np.uint64)
+        for shift, mask in _SPREAD:
+            v = (v | v << np.uint64(shift)) & np.uint64(mask)
+        return v
+
+    lowest = 2 * (MAX_LEVEL - at_level)
+    position = spread_bits(i) | spread_bits(j) << np.uint64(1)
+    return (face.astype(np.uint64) << np.uint64(61) | position << np.uint64(lowest + 1) | np.uint64(1 << lowest)).view(np.int64)
+
+
+def _walk(rings: list[np.ndarray], to_level: int) -> Iterator[np.ndarray]:
+    """Ids of the cells whose centres lie in the first ring and in no other (of x, y), some at a time."""
+    (x0, y0), (x1, y1) = rings[0].min(axis=0), rings[0].max(axis=0)
+    stack = [(0, np.arange(6), np.zeros(6, np.int64), np.zeros(6, np.int64))]
+    while stack:
+        n, face, i, j = stack.pop()
+        lat, lon = _centres(face, i, j, n)
+        if n == to_level:
+            odd = [_odd(lon, lat, r) for r in rings]
+            inside = odd[0] & ~np.logical_or.reduce([np.zeros(len(lat), bool), *odd[1:]])
+            if inside.any():
+                yield _ids(face[inside], i[inside], j[inside], n)
+            continue
+        r = REACH / 2**n
+        room = np.cos(np.radians(lat))
+        wide = np.where(np.abs(np.radians(lat)) + r >= np.pi / 2, 360.0, np.degrees(np.arcsin(np.minimum(1.0, math.sin(min(r, math.pi / 2)) / np.maximum(room, 1e-300)))))
+        near = (lat - math.degrees(r) <= y1) & (lat + math.degrees(r) >= y0)
+        near &= np.logical_or.reduce([(lon + d - wide <= x1) & (lon + d + wide >= x0) for d in (-360.0, 0.0, 360.0)])
+        face, i, j = face[near], i[near], j[near]
+        for at in range(0, len(face), CELLS_AT_ONCE // 4):  # deepest first: what waits stays small
+            f, p, q = (v[at : at + CELLS_AT_ONCE // 4] for v in (face, i, j))
+            step = np.arange(4)
+            stack.append((n + 1, np.repeat(f, 4), (2 * p[:, None] + (step & 1)).ravel(), (2 * q[:, None] + (step >> 1)).ravel()))
+
+
+def _odd(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    """Whether an odd number of edges lies to the right of each point (half-open), a block of edges at a time."""
+    count = np.zeros(len(x), np.int64)
+    if len(ring) < 3:
+        return count > 0
+    a, b = ring, np.roll(ring, -1, axis=0)
+    block = max(1, 4_000_000 // max(1, len(x)))
+    for at in range(0, len(ring), block):
+        (x1, y1), (x2, y2) = (v[at : at + block].T[:, None, :] for v in (a, b))
+        across = (y1 > y[:, None]) != (y2 > y[:, None])
+        rise = np.where(y1 == y2, 1.0, y1 - y2)
+        count += (across & (x[:, None] < (x1 - x2) * (y[:, None] - y2) / rise + x2)).sum(axis=1)
+    return count % 2 == 1
+
+
+def cover(polygons: DataFrame, to_level: int, polygon_id: str = "zone_id") -> DataFrame:
+    """(id, ``cell``) for the cells of a level whose centres lie in a polygon (id, ``polygon`` of x: longitude, y: latitude), a row for each.
+
+    The tree of cells is walked down from the six faces: children of what is left, less those that can't reach the polygon's
+    box, in blocks, so that memory is bounded whatever the cells of a polygon.  Polygons with a coordinate that isn't finite or
+    out of range have no cells.  Edges are straight in degrees, so none crosses the antimeridian.  Ids with several
+    polygons have the cells of each.
+    """
+    if not 0 <= to_level <= MAX_LEVEL:
+        raise ValueError("levels run from 0 to 30")
+
+    def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in incoming:
+            for row in range(batch.num_rows):
+                shape = batch.column(1)[row].as_py() or []
+                rings = [np.array([(p["x"], p["y"]) for p in r], float).reshape(-1, 2) for r in shape if r is not None]
+                if not rings or len(rings[0]) < 3 or not all((np.abs(r[:, 0]) <= 180).all() and (np.abs(r[:, 1]) <= 90).all() for r in rings):
+                    continue
+                for ids in _walk(rings, to_level):
+                    again = pa.array(np.full(len(ids), row), pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(again), pa.array(ids)], [polygon_id, "cell"])
+
+    return polygons.select(polygon_id, "polygon").mapInArrow(run, f"{polygon_id} {dict(polygons.dtypes)[polygon_id]}, cell long")

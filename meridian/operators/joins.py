@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridian.functions import planar
+from meridian.functions.binding import bind, named
 
+#: Cells across that a polygon has at most at its own level in a join of points.
+ACROSS = 8
 #: Cells across that a box may have at a level that is searched for any polygon at all.
 COVER = 16
 #: Doublings between the smallest cells of a nearest search and all there is.
@@ -42,34 +45,110 @@ def cover(polygons: DataFrame, size: float) -> DataFrame:
     return across.withColumn("_cy", F.explode(F.sequence(_cell(F.col("ymin"), size), _cell(F.col("ymax"), size))))
 
 
+def _levelled(boxes: DataFrame, size: float) -> DataFrame:
+    """``_level`` of each box: at ``size`` doubled so many times it has at most ACROSS cells each way; and that ``_step``."""
+    extent = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(size)) / (ACROSS * size)))).cast("int")
+    return boxes.withColumn("_level", level).withColumn("_step", F.lit(float(size)) * F.pow(F.lit(2.0), F.col("_level")))
+
+
+def _in_cells(boxes: DataFrame) -> DataFrame:
+    """A row for each cell of its level that a box meets."""
+    reach = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / F.col("_step")).cast("long"), F.floor(F.col(high) / F.col("_step")).cast("long")))
+    return boxes.withColumn("_cx", reach("xmin", "xmax")).withColumn("_cy", reach("ymin", "ymax"))
+
+
+def _levels_of(boxes: DataFrame, size: float) -> list[int]:
+    """The levels in use: at most some fifty numbers."""
+    return sorted(r[0] for r in _levelled(boxes, size).select("_level").distinct().collect())
+
+
+def _at_levels(points: DataFrame, levels: list[int], size: float) -> DataFrame:
+    """``points`` (with x, y) once for each level, with their cell there."""
+    known = points.where("x - x = 0 and y - y = 0")  # neither null nor infinite
+    probes = known.withColumn("_level", F.lit(levels[0]) if len(levels) == 1 else F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    step = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("_level"))
+    return probes.withColumns({"_cx": F.floor(F.col("x") / step).cast("long"), "_cy": F.floor(F.col("y") / step).cast("long")})
+
+
+def _own_edges(polygon: Column) -> Column:
+    """What decides about points of a cell: for each ring the edges that a ray to the right may or may not cross, depending on the
+    point, and whether those that it crosses from anywhere in the cell are odd in number."""
+    slack = F.col("_step") * 1e-9 + (F.abs(F.col("_cx")) + F.abs(F.col("_cy"))) * F.col("_step") * 1e-15
+    left, low = F.col("_cx") * F.col("_step") - slack, F.col("_cy") * F.col("_step") - slack
+    right, high = (F.col("_cx") + 1) * F.col("_step") + slack, (F.col("_cy") + 1) * F.col("_step") + slack
+
+    def ring(points: Column) -> Column:
+        def reached(e: Column) -> Column:
+            return (F.greatest(e["y1"], e["y2"]) > low) & (F.least(e["y1"], e["y2"]) <= high) & (F.greatest(e["x1"], e["x2"]) >= left)
+
+        always = lambda e: (F.least(e["x1"], e["x2"]) > right) & (F.least(e["y1"], e["y2"]) <= low) & (F.greatest(e["y1"], e["y2"]) > high)
+
+        def told(near: Column) -> Column:
+            return named(odd=F.size(F.filter(near, always)) % 2 == 1, edges=F.filter(near, lambda e: ~always(e)))
+
+        return bind(F.when(F.size(points) >= 3, F.filter(planar.edges(points), reached)).otherwise(F.filter(planar.edges(points), lambda e: F.lit(False))), told)
+
+    return F.transform(polygon, ring)
+
+
+def _decided(x: Column, y: Column, rings: Column) -> Column:
+    """Whether a point of the cell lies in the polygon: in its first ring and in no other."""
+    odd = lambda r: F.aggregate(r["edges"], r["odd"], lambda acc, e: acc != F.coalesce(planar.crosses_ray(x, y, e), F.lit(False)))
+    holes = F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0)))
+    return bind(F.get(rings, F.lit(0)), odd) & ~F.exists(holes, odd)
+
+
 def spatial_join(points: DataFrame, polygons: DataFrame, size: float | None = None, point_id: str = "point_id", polygon_id: str = "zone_id") -> DataFrame:
     """(point, polygon) ids of every point in every polygon, a row for each polygon part.
 
-    ``points``: id, x, y.  ``polygons``: id, polygon.  Half-open boundaries; null coordinates match nothing.
+    ``points``: id, x, y.  ``polygons``: id, polygon.  Half-open boundaries; coordinates that are null or not finite match nothing.
+    A polygon becomes at most some hundred cells, of a level that suits its extent, each with the edges that matter there:
+    none for a cell that lies inside, and cells outside are left out.  No polygon goes through the exchange.
     """
-    boxed = with_box(polygons.select(polygon_id, "polygon"))
+    boxed = with_box(polygons.select(polygon_id, "polygon")).where("xmin - xmin = 0 and xmax - xmax = 0 and ymin - ymin = 0 and ymax - ymax = 0")
     size = size or cell_size(boxed)
-    cells = cover(boxed, size)
-    probes = points.select(point_id, "x", "y").where("x is not null and y is not null").withColumns({"_cx": _cell(F.col("x"), size), "_cy": _cell(F.col("y"), size)})
+    cells = _in_cells(_levelled(boxed, size)).withColumn("_rings", _own_edges(F.col("polygon")))
+    empty = F.forall("_rings", lambda r: F.size(r["edges"]) == 0)
+    inside = F.get("_rings", F.lit(0))["odd"] & ~F.exists(F.slice("_rings", 2, F.greatest(F.size("_rings") - 1, F.lit(0))), lambda r: r["odd"])
+    cells = cells.where(~empty | inside).withColumn("_rings", F.when(~empty, F.col("_rings")))
+    cells = cells.select(polygon_id, "xmin", "ymin", "xmax", "ymax", "_level", "_cx", "_cy", "_rings")
     x, y = F.col("x"), F.col("y")
-    near = probes.join(cells, ["_cx", "_cy"]).where((x >= F.col("xmin")) & (x <= F.col("xmax")) & (y >= F.col("ymin")) & (y <= F.col("ymax")))
-    return near.where(planar.point_in_polygon(x, y, F.col("polygon"))).select(point_id, polygon_id)
+    near = _at_levels(points.select(point_id, "x", "y"), _levels_of(boxed, size) or [0], size).join(cells, ["_level", "_cx", "_cy"]).where(_in_box(x, y))
+    return near.where(F.col("_rings").isNull() | _decided(x, y, F.col("_rings"))).select(point_id, polygon_id)
+
+
+def _in_box(x: Column, y: Column) -> Column:
+    return (x >= F.col("xmin")) & (x <= F.col("xmax")) & (y >= F.col("ymin")) & (y <= F.col("ymax"))
+
+
+def box_join(points: DataFrame, polygons: DataFrame, size: float | None = None, point_id: str = "point_id", polygon_id: str = "zone_id") -> DataFrame:
+    """(point, polygon) ids and the point's x and y for every point in the box of every polygon, borders included."""
+    boxed = with_box(polygons.select(polygon_id, "polygon")).drop("polygon").where("xmin is not null")
+    size = size or cell_size(boxed)
+    near = _at_levels(points.select(point_id, "x", "y"), _levels_of(boxed, size) or [0], size).join(_in_cells(_levelled(boxed, size)), ["_level", "_cx", "_cy"])
+    return near.where(_in_box(F.col("x"), F.col("y"))).select(point_id, polygon_id, "x", "y")
 
 
 def polygon_pairs(left: DataFrame, right: DataFrame, size: float | None = None, left_id: str = "left_id", right_id: str = "right_id") -> DataFrame:
     """Pairs of polygons whose boxes meet, each pair once, with both polygons and boxes (suffixes ``_l``, ``_r``).
 
-    A pair is kept in the cell that holds the lower left corner of the boxes' common part only.
+    Ids and boxes meet in cells; a pair is kept in the cell that holds the lower left corner of the boxes' common part only.
+    The polygons join their pairs afterwards, by id and hash.
     """
-    a, b = with_box(left.select(F.col(left_id), F.col("polygon"))), with_box(right.select(F.col(right_id), F.col("polygon")))
-    size = size or cell_size(a.select("xmin", "ymin", "xmax", "ymax").unionByName(b.select("xmin", "ymin", "xmax", "ymax")))
-    names = ("polygon", "xmin", "ymin", "xmax", "ymax")
-    a = cover(a, size).withColumnsRenamed({c: f"{c}_l" for c in names})
-    b = cover(b, size).withColumnsRenamed({c: f"{c}_r" for c in names})
-    pairs = a.join(b, ["_cx", "_cy"])
+    keyed = lambda rows, i: with_box(rows.select(F.col(i), F.col("polygon"), F.xxhash64("polygon").alias("_h")))
+    sides = {"l": (keyed(left, left_id), left_id), "r": (keyed(right, right_id), right_id)}
+    names = ("xmin", "ymin", "xmax", "ymax")
+    size = size or cell_size(sides["l"][0].select(*names).unionByName(sides["r"][0].select(*names)))
+    covered = {k: cover(rows.drop("polygon"), size).withColumnsRenamed({c: f"{c}_{k}" for c in (*names, "_h")}) for k, (rows, _) in sides.items()}
+    pairs = covered["l"].join(covered["r"], ["_cx", "_cy"])
     corner = (F.col("_cx") == _cell(F.greatest("xmin_l", "xmin_r"), size)) & (F.col("_cy") == _cell(F.greatest("ymin_l", "ymin_r"), size))
     meet = (F.col("xmin_l") <= F.col("xmax_r")) & (F.col("xmin_r") <= F.col("xmax_l")) & (F.col("ymin_l") <= F.col("ymax_r")) & (F.col("ymin_r") <= F.col("ymax_l"))
-    return pairs.where(corner & meet).drop("_cx", "_cy")
+    pairs = pairs.where(corner & meet).drop("_cx", "_cy")
+    for k, (rows, i) in sides.items():
+        own = rows.select(i, F.col("_h").alias(f"_h_{k}"), F.col("polygon").alias(f"polygon_{k}")).dropDuplicates([i, f"_h_{k}"])
+        pairs = pairs.join(own, [i, f"_h_{k}"])
+    return pairs.drop("_h_l", "_h_r")
 
 
 def polygon_intersection_join(left: DataFrame, right: DataFrame, size: float | None = None, left_id: str = "left_id", right_id: str = "right_id") -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meridian.functions import overlay, relate
 from meridian.functions import planar as P
 from meridian.functions import udf as U
 from meridian.operators import joins
 from meridian.streaming.geofence import geofence
 
 from .fixtures import view
-from .planar_queries import lines, polygons, query, r
+from .planar_queries import lines, polygons, query, r, rects
 
 
 @query("wkt_roundtrip", "SELECT zone_id, 'POINT (' || CAST(CAST(h AS INT) AS VARCHAR) || ' ' || CAST(CAST(h AS INT) + 1 AS VARCHAR) || ')' AS wkt FROM zones")
@@ -50,30 +51,28 @@ def buffer_point_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("zone_id", r(P.ring_signed_area(F.col("b"))).alias("area"))
 
 
-Q = "q AS (SELECT zone_id, cx-h AS x0, cy-h AS y0, cx+h AS x1, cy+h AS y1 FROM zones WHERE shape = 0), p AS (SELECT a.zone_id AS left_id, b.zone_id AS right_id, least(a.x1,b.x1)-greatest(a.x0,b.x0) AS w, least(a.y1,b.y1)-greatest(a.y0,b.y0) AS h, (a.x1-a.x0)*(a.y1-a.y0) AS aa, (b.x1-b.x0)*(b.y1-b.y0) AS ab, a.x0 <= b.x0 AND a.y0 <= b.y0 AND a.x1 >= b.x1 AND a.y1 >= b.y1 AS holds FROM q a JOIN q b ON a.zone_id < b.zone_id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1)"
+Q = "q AS (SELECT zone_id, cx-h AS x0, cy-h AS y0, cx+h AS x1, cy+h AS y1 FROM zones), p AS (SELECT a.zone_id AS left_id, b.zone_id AS right_id, least(a.x1,b.x1)-greatest(a.x0,b.x0) AS w, least(a.y1,b.y1)-greatest(a.y0,b.y0) AS h, (a.x1-a.x0)*(a.y1-a.y0) AS aa, (b.x1-b.x0)*(b.y1-b.y0) AS ab, a.x0 <= b.x0 AND a.y0 <= b.y0 AND a.x1 >= b.x1 AND a.y1 >= b.y1 AS holds FROM q a JOIN q b ON a.zone_id < b.zone_id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1)"
 
 
 def rect_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of rectangles that meet, with the extent of what they share."""
-    rects = polygons(spark, sf_dir).join(view(spark, sf_dir, "zones").where("shape = 0").select("zone_id"), "zone_id")
-    pairs = joins.polygon_pairs(rects.withColumnRenamed("zone_id", "left_id"), rects.withColumnRenamed("zone_id", "right_id"), 100.0).where("left_id < right_id")
-    e = F.expr
-    return pairs.select("left_id", "right_id", e("least(xmax_l, xmax_r) - greatest(xmin_l, xmin_r)").alias("w"), e("least(ymax_l, ymax_r) - greatest(ymin_l, ymin_r)").alias("h"), P.polygon_area(F.col("polygon_l")).alias("aa"), P.polygon_area(F.col("polygon_r")).alias("ab"), e("xmin_l <= xmin_r AND ymin_l <= ymin_r AND xmax_l >= xmax_r AND ymax_l >= ymax_r").alias("holds"))
+    """Pairs of the zones' bounding rectangles that meet."""
+    return joins.polygon_pairs(rects(spark, sf_dir, "left_id"), rects(spark, sf_dir, "right_id"), 100.0).where("left_id < right_id")
 
 
 @query("polygon_contains_rect", f"WITH {Q} SELECT left_id, right_id FROM p WHERE holds")
 def polygon_contains_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rect_pairs(spark, sf_dir).where("holds").select("left_id", "right_id")
+    return rect_pairs(spark, sf_dir).where(relate.polygon_contains_polygon(F.col("polygon_l"), F.col("polygon_r"))).select("left_id", "right_id")
 
 
 @query("rects_touch", f"WITH {Q} SELECT left_id, right_id, w*h <= 1e-9*(aa+ab) AS touch FROM p")
 def rects_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rect_pairs(spark, sf_dir).select("left_id", "right_id", F.expr("w*h <= 1e-9D*(aa+ab)").alias("touch"))
+    a, b = F.col("polygon_l"), F.col("polygon_r")
+    return rect_pairs(spark, sf_dir).select("left_id", "right_id", relate.matches(relate.relate_polygons(a, b), "F********").alias("touch"))
 
 
 @query("clip_intersection_area", f"WITH {Q} SELECT left_id, right_id, round(w*h, 4) AS area FROM p")
 def clip_intersection_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rect_pairs(spark, sf_dir).select("left_id", "right_id", r(F.expr("w*h"), 4).alias("area"))
+    return rect_pairs(spark, sf_dir).select("left_id", "right_id", r(overlay.intersection_area(F.col("polygon_l"), F.col("polygon_r")), 4).alias("area"))
 
 
 @query("dataset_summary", "SELECT count(DISTINCT zone_id) AS features, min(vx) AS xmin, min(vy) AS ymin, max(vx) AS xmax, max(vy) AS ymax FROM zone_vertices")

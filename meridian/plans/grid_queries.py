@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.functions import s2
+from meridian.functions import planar, s2
 from meridian.operators import joins
 from meridian.raster import band as B
 
@@ -183,3 +183,33 @@ def s2_token(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("quadkey", "WITH i AS (SELECT point_id, CAST(floor((x+1000)/2000*32) AS BIGINT) AS i, CAST(floor((y+1000)/2000*32) AS BIGINT) AS j FROM pts) SELECT point_id, (SELECT string_agg(CAST(((i >> b) & 1) + 2*((j >> b) & 1) AS VARCHAR), '' ORDER BY b DESC) FROM range(5) t(b)) AS key FROM i")
 def quadkey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "pts").select("point_id", s2.quadkey(F.col("x"), F.col("y"), (-1000.0, -1000.0, 1000.0, 1000.0), 5).alias("key"))
+
+
+#: Centres of all cells of level 7, by face and place.
+CENTRES = """c AS (SELECT f, (i+0.5)/128 AS s, (j+0.5)/128 AS t FROM range(6) a(f) CROSS JOIN range(128) b(i) CROSS JOIN range(128) d(j)),
+ w AS (SELECT f, CASE WHEN s >= 0.5 THEN (4*s*s-1)/3 ELSE (1-4*(1-s)*(1-s))/3 END AS u, CASE WHEN t >= 0.5 THEN (4*t*t-1)/3 ELSE (1-4*(1-t)*(1-t))/3 END AS v FROM c),
+ a AS (SELECT CASE f WHEN 0 THEN 1 WHEN 1 THEN -u WHEN 2 THEN -u WHEN 3 THEN -1 WHEN 4 THEN u ELSE u END AS x, CASE f WHEN 0 THEN u WHEN 1 THEN 1 WHEN 2 THEN -v WHEN 3 THEN -u WHEN 4 THEN -1 ELSE v END AS y, CASE f WHEN 0 THEN v WHEN 1 THEN v WHEN 2 THEN 1 WHEN 3 THEN -v WHEN 4 THEN -v ELSE -1 END AS z FROM w),
+ l AS (SELECT degrees(atan2(z, sqrt(x*x+y*y))) AS lat, degrees(atan2(y, x)) AS lon FROM a)"""
+#: Zones as polygons in degrees.
+WIDE, TALL = 10.0, 12.5
+
+
+@query("s2_cover", f"""WITH {CENTRES}, n AS (SELECT z.zone_id, l.lat, l.lon FROM zones z JOIN l ON l.lon BETWEEN (z.cx-z.h)/{WIDE} AND (z.cx+z.h)/{WIDE} AND l.lat BETWEEN (z.cy-z.h)/{TALL} AND (z.cy+z.h)/{TALL}),
+ r AS (SELECT n.zone_id, n.lat, n.lon, e.ring, sum(CASE WHEN (e.y1/{TALL} > n.lat) <> (e.y2/{TALL} > n.lat) AND n.lon < (e.x1-e.x2)/{WIDE}*(n.lat-e.y2/{TALL})/nullif((e.y1-e.y2)/{TALL}, 0)+e.x2/{WIDE} THEN 1 ELSE 0 END) % 2 AS ins FROM n JOIN zone_edges e USING (zone_id) GROUP BY 1, 2, 3, 4)
+ SELECT zone_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM r GROUP BY r.zone_id, r.lat, r.lon HAVING max(CASE WHEN ring = 0 THEN ins ELSE 0 END) = 1 AND max(CASE WHEN ring > 0 THEN ins ELSE 0 END) = 0""")
+def s2_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centres of the cells of level 7 in every zone, in degrees."""
+    turned = F.transform("polygon", lambda ring: F.transform(ring, lambda p: planar.point(p["x"] / WIDE, p["y"] / TALL)))
+    cells = s2.cover(polygons(spark, sf_dir).select("zone_id", turned.alias("polygon")), 7)
+    return s2.with_center(cells).select("zone_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+@query("s2_neighbours", "SELECT gid, 4 AS n, true AS back FROM geopts")
+def s2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four cells beside every position's cell: how many they are, and whether a step from each returns to it."""
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((1, 0), (0, 1), (-1, 0), (0, -1))])).alias("s")
+    start = view(spark, sf_dir, "geopts").select("gid", s2.cell_at(F.col("lat"), F.col("lon"), 12).alias("c"))
+    beside = start.select("gid", "c", steps).select("gid", "c", s2.neighbour(F.col("c"), F.col("s.i"), F.col("s.j")).alias("n"))
+    again = beside.select("gid", "c", "n", steps).select("gid", "c", "n", s2.neighbour(F.col("n"), F.col("s.i"), F.col("s.j")).alias("back"))
+    met = again.groupBy("gid", "c", "n").agg(F.max(F.col("back") == F.col("c")).alias("back"))
+    return met.where("n <> c").groupBy("gid").agg(F.count("*").cast("int").alias("n"), F.min("back").alias("back"))

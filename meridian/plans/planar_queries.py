@@ -88,17 +88,44 @@ def pip_join_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("point_id", "zone_id", F.col("p.id").alias("id"), F.col("p.area").alias("area"), F.col("p.status").alias("status"))
 
 
-RECTS = "SELECT zone_id, cx-h AS x0, cy-h AS y0, cx+h AS x1, cy+h AS y1 FROM zones WHERE shape = 0"
+RECTS = "SELECT zone_id, cx-h AS x0, cy-h AS y0, cx+h AS x1, cy+h AS y1 FROM zones"
 
 
-def rects(spark: SparkSession, sf_dir: str, as_id: str = "zone_id") -> DataFrame:
-    return polygons(spark, sf_dir).join(view(spark, sf_dir, "zones").where("shape = 0").select("zone_id"), "zone_id").select(F.col("zone_id").alias(as_id), "polygon")
+def rects(spark: SparkSession, sf_dir: str, as_id: str) -> DataFrame:
+    """The bounding rectangle of every zone as a polygon."""
+    boxed = joins.with_box(polygons(spark, sf_dir))
+    corner = lambda x, y: P.point(F.col(x), F.col(y))
+    return boxed.select(F.col("zone_id").alias(as_id), F.array(F.array(corner("xmin", "ymin"), corner("xmax", "ymin"), corner("xmax", "ymax"), corner("xmin", "ymax"))).alias("polygon"))
 
 
-@query("polygon_intersection_join", f"WITH q AS ({RECTS}) SELECT a.zone_id AS left_id, b.zone_id AS right_id FROM q a JOIN q b ON a.zone_id < b.zone_id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1")
+def zone_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of zones of any shape whose boxes meet."""
+    zones = polygons(spark, sf_dir)
+    left, right = (zones.select(F.col("zone_id").alias(c), "polygon") for c in ("left_id", "right_id"))
+    return joins.polygon_pairs(left, right, SIZE).where("left_id < right_id")
+
+
+#: What two zones share, by strips: the sides of a square, a triangle or a hole are straight from bottom to top, so the common
+#: width is linear between the ordinates at which two sides meet.  ``common``: area for each pair of zones; ``wide``: the largest
+#: common width of the outer shapes (negative: apart).
+STRIPS = """q AS (SELECT *, CASE shape WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 2 END * h * h AS area FROM zones),
+part AS (SELECT zone_id, 1 AS sign, cx-h AS l, cx+h AS r, cy-h AS y0, cy+h AS y1, CASE WHEN shape = 2 THEN 0.5 ELSE 0.0 END AS s FROM zones UNION ALL SELECT zone_id, -1, cx-h/2, cx+h/2, cy-h/2, cy+h/2, 0.0 FROM zones WHERE shape = 1),
+duo AS (SELECT row_number() OVER () AS k, a.zone_id AS left_id, b.zone_id AS right_id, a.sign*b.sign AS sign, a.sign+b.sign = 2 AS outer_, greatest(a.y0, b.y0) AS lo, least(a.y1, b.y1) AS hi, a.l - a.s*a.y0 AS al, a.s, a.r + a.s*a.y0 AS ar, b.l - b.s*b.y0 AS bl, b.s AS t, b.r + b.s*b.y0 AS br
+ FROM part a JOIN part b ON a.zone_id < b.zone_id AND a.y0 <= b.y1 AND b.y0 <= a.y1 JOIN q c ON c.zone_id = a.zone_id JOIN q d ON d.zone_id = b.zone_id AND abs(c.cx - d.cx) <= c.h + d.h AND abs(c.cy - d.cy) <= c.h + d.h),
+cut AS (SELECT *, unnest(list_distinct(list_filter([lo, hi, (bl-al)/nullif(s-t, 0), (br-ar)/nullif(t-s, 0), (br-al)/nullif(s+t, 0), (ar-bl)/nullif(s+t, 0)], lambda v: v >= lo AND v <= hi))) AS y FROM duo),
+wide AS (SELECT *, least(ar - s*y, br - t*y) - greatest(al + s*y, bl + t*y) AS w FROM cut),
+strip AS (SELECT *, lead(y) OVER o AS y2, lead(w) OVER o AS w2 FROM wide WINDOW o AS (PARTITION BY k ORDER BY y)),
+common AS (SELECT left_id, right_id, sum(coalesce(sign * (greatest(w, 0) + greatest(w2, 0)) / 2 * (y2 - y), 0)) AS meet, max(CASE WHEN outer_ THEN w END) AS widest FROM strip GROUP BY 1, 2),
+p AS (SELECT c.left_id, c.right_id, a.area AS aa, b.area AS ab, meet, widest,
+ a.shape = 1 AND b.cx-b.h > a.cx-a.h/2 AND b.cx+b.h < a.cx+a.h/2 AND b.cy-b.h > a.cy-a.h/2 AND b.cy+b.h < a.cy+a.h/2 OR b.shape = 1 AND a.cx-a.h > b.cx-b.h/2 AND a.cx+a.h < b.cx+b.h/2 AND a.cy-a.h > b.cy-b.h/2 AND a.cy+a.h < b.cy+b.h/2 AS in_hole
+ FROM common c JOIN q a ON a.zone_id = c.left_id JOIN q b ON b.zone_id = c.right_id)"""
+
+
+@query("polygon_intersection_join", f"WITH {STRIPS} SELECT left_id, right_id FROM p WHERE widest >= 0 AND NOT in_hole")
 def polygon_intersection_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = joins.polygon_intersection_join(rects(spark, sf_dir, "left_id"), rects(spark, sf_dir, "right_id"), SIZE)
-    return found.where("left_id < right_id")
+    zones = polygons(spark, sf_dir)
+    left, right = (zones.select(F.col("zone_id").alias(c), "polygon") for c in ("left_id", "right_id"))
+    return joins.polygon_intersection_join(left, right, SIZE).where("left_id < right_id")
 
 
 DIST = """
