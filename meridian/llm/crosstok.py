@@ -58,24 +58,13 @@ def _byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-def align(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Links (places in ``a`` and ``b`` whose bytes overlap) and where groups end, for tokens over the same bytes."""
-    links, ends = [], []
-    i = j = 0
-    a_end, b_end = a_size[0], b_size[0]
-    while True:
-        links.append((i, j))
-        step_a, step_b = a_end <= b_end, b_end <= a_end
-        if step_a and step_b:
-            ends.append((i + 1, j + 1))
-            if i + 1 == len(a):
-                return links, ends
-        if step_a:
-            i += 1
-            a_end += a_size[i]
-        if step_b:
-            j += 1
-            b_end += b_size[j]
+def align(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (numbers of an A and a B token whose bytes overlap) and the ends of groups, from the places at which tokens over the same bytes end.
+
+    Between two neighbouring ends of either side lies one A and one B token, and every two tokens that overlap do so in one such stretch.
+    """
+    ends = np.union1d(a_ends, b_ends)
+    return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends), np.intersect1d(a_ends, b_ends, assume_unique=True)
 
 
 class Aligner:
@@ -103,22 +92,68 @@ class Aligner:
             raise ValueError("B must have no piece with a space behind anything else")
         self.b_bytes = [bytes([int(_BYTE.fullmatch(p)[1], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
         self.space = self.b.piece_to_id("▁")
+        self.marks = {c: [vocab[c]] for c in ".,;:!?"}
+        self.a_size, self.b_size = (np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes))
+        self.texts = [f"{k}{end}".encode() for ends, n in (((",", "|"), len(self.a_bytes)), ((",", ";"), len(self.b_bytes))) for k in range(n) for end in ends]
+        self.text_size, self.b_text = np.array([len(t) for t in self.texts], np.int64), 2 * len(self.a_bytes)
         self.now: dict[str, tuple] = {}
         self.before: dict[str, tuple] = {}
 
-    def _record(self, stretch: str, a: list[int], b: list[int]) -> tuple | None:
-        """(A tokens, B tokens, groups, links as pairs of ids, groups as text), None where the bytes differ."""
-        a_parts, b_parts = [self.a_bytes[k] for k in a], [self.b_bytes[k] for k in b]
-        whole = b" " + stretch.encode()
-        if b"".join(a_parts) != whole or b"".join(b_parts) != whole:
-            return None
-        links, ends = align(a, b, [len(x) for x in a_parts], [len(x) for x in b_parts])
-        pairs = np.array([b[j] << 32 | a[i] for i, j in links], np.int64).tobytes()
-        groups, i, j = [], 0, 0
-        for i_end, j_end in ends:
-            groups.append(f"{','.join(map(str, a[i:i_end]))}|{','.join(map(str, b[j:j_end]))}")
-            i, j = i_end, j_end
-        return len(a), len(b), len(ends), pairs, ";".join(groups)
+    def _a_ids(self, stretches: list[str]) -> list[list[int]]:
+        """A's ids; a word of ASCII letters, with a mark behind it or not, is one piece (and the mark another) and goes to the model at once."""
+        tokenize = self.a.model.tokenize
+        out: list[list[int] | None] = []
+        for s in stretches:
+            word, mark = (s[:-1], self.marks[s[-1]]) if s[-1:] in self.marks else (s, [])
+            plain = word.isascii() and word.isalpha()
+            out.append([t.id for t in tokenize("\u0120" + word)] + mark if plain else None)
+        odd = [k for k, ids in enumerate(out) if ids is None]
+        for k, found in zip(odd, self.a.encode_batch_fast([" " + stretches[k] for k in odd], add_special_tokens=False), strict=True):
+            out[k] = found.ids
+        return out
+
+    def _learn(self, stretches: list[str]) -> list[tuple | None]:
+        """(A tokens, B tokens, groups, links as pairs of ids, groups as text with a semicolon behind each) of each, None where the bytes differ."""
+        if not stretches:
+            return []
+        a = self._a_ids(stretches)
+        b = [ids if s else [self.space] for s, ids in zip(stretches, self.b.encode(stretches, num_threads=1), strict=True)]
+        wholes = [b" " + s.encode() for s in stretches]
+        good = np.ones(len(stretches), bool)
+        size = np.fromiter(map(len, wholes), np.int64, len(wholes))
+        for ids, table, sizes in ((a, self.a_bytes, self.a_size), (b, self.b_bytes, self.b_size)):
+            flat = np.fromiter(chain.from_iterable(ids), np.int64)
+            owner = np.repeat(np.arange(len(ids)), np.fromiter(map(len, ids), np.int64, len(ids)))
+            good &= np.bincount(owner, sizes[flat], len(ids)) == size
+            if good.all() and b"".join(map(table.__getitem__, flat.tolist())) == b"".join(wholes):
+                continue
+            for k in range(len(ids)):
+                good[k] = good[k] and b"".join([table[t] for t in ids[k]]) == wholes[k]
+        kept = np.flatnonzero(good)
+        out: list[tuple | None] = [None] * len(stretches)
+        if not len(kept):
+            return out
+        n_a, n_b = (np.array([len(ids[k]) for k in kept]) for ids in (a, b))
+        a_ids, b_ids = (np.fromiter(chain.from_iterable(ids[k] for k in kept), np.int64) for ids in (a, b))
+        a_ends, b_ends = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])
+        i, j, groups = align(a_ends, b_ends)
+        pairs = b_ids[j] << 32 | a_ids[i]
+        stops = np.cumsum(size[kept])
+        n_links = np.diff(np.searchsorted(np.minimum(a_ends[i], b_ends[j]), stops, side="right"), prepend=0)
+        n_groups = np.diff(np.searchsorted(groups, stops, side="right"), prepend=0)
+        # the text of groups: for each its A tokens, then its B tokens, each with what follows it
+        of_a, of_b = np.searchsorted(groups, a_ends), np.searchsorted(groups, b_ends)
+        last_a = np.append(of_a[1:] != of_a[:-1], True)
+        written = np.concatenate([2 * a_ids + last_a, self.b_text + 2 * b_ids + np.isin(b_ends, groups, assume_unique=True)])
+        order = np.argsort(np.concatenate([2 * of_a, 2 * of_b + 1]), kind="stable")
+        written = written[order]
+        text = b"".join(map(self.texts.__getitem__, written.tolist()))
+        widths = np.cumsum(self.text_size[written])
+        cuts = np.append(0, widths[np.cumsum(n_a + n_b) - 1]).tolist()
+        raw, at = pairs.tobytes(), np.append(0, np.cumsum(n_links) * 8).tolist()
+        for k, x, y, z, t0, t1, p0, p1 in zip(kept.tolist(), n_a.tolist(), n_b.tolist(), n_groups.tolist(), cuts, cuts[1:], at, at[1:], strict=False):
+            out[k] = (x, y, z, raw[p0:p1], text[t0:t1])
+        return out
 
     def records(self, stretches: list[str]) -> list[tuple | None]:
         """The record of each of these distinct stretches."""
@@ -131,9 +166,7 @@ class Aligner:
                 known[s] = found
         missing = [s for s in stretches if s not in known]
         if missing:
-            a = self.a.encode_batch_fast([" " + s for s in missing], add_special_tokens=False)
-            b = self.b.encode(missing, num_threads=1)
-            fresh = {s: self._record(s, x.ids, y if s else [self.space]) for s, x, y in zip(missing, a, b, strict=True)}
+            fresh = dict(zip(missing, self._learn(missing), strict=True))
             known |= fresh
             self.now.update((s, r) for s, r in fresh.items() if len(s) <= REMEMBERED_CHARS)
         if len(self.now) > REMEMBERED:
@@ -177,9 +210,9 @@ def aligned(own: Aligner, texts: list[str], with_groups: bool = False) -> dict[s
     names = [None if r is None else r[4] for r in found]
     groups, digests = [], []
     for k in range(len(texts)):
-        text = "" if wrong[k] else ";".join([names[c] for c in code[bounds[k] : bounds[k + 1]].tolist()])
-        groups.append(text if with_groups else None)
-        digests.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
+        text = b"" if wrong[k] else b"".join([names[c] for c in code[bounds[k] : bounds[k + 1]].tolist()])[:-1]
+        groups.append(text.decode() if with_groups else None)
+        digests.append(hashlib.sha256(text).hexdigest() if text else "")
 
     pairs, which = np.unique(np.frombuffer(b"".join(r[3] for r in found if r is not None), np.int64), return_inverse=True)
     first = np.cumsum(size) - size
