@@ -91,16 +91,19 @@ def _dictionary(pieces: list[bytes], size: int) -> bytes:
         return b"\n".join(pieces)[-size:]
 
 
-def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, label: str = "quality", dict_bytes: int = DICT_BYTES, level: int = LEVEL, rows: int = sampling.ROWS, max_bytes: int = sampling.BYTES) -> Model:
-    """Fits on a bounded sample of labelled rows (``rows``, ``max_bytes``) for which ``where`` holds (all, if None).
+def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, label: str = "quality", dict_bytes: int = DICT_BYTES, level: int = LEVEL, rows: int = sampling.ROWS, max_bytes: int = sampling.BYTES, largest: int | None = None, balanced: bool = True) -> Model:
+    """Fits on a bounded sample of labelled rows (``rows``, ``max_bytes``, texts of at most ``largest`` bytes, by default a 64th of ``max_bytes``) for which ``where`` holds (all, if None).
+
+    ``balanced``: both dictionaries are trained on about as many bytes, so pieces of the class with more text are left out of its
+    dictionary (not of the calibration); else on all pieces.
 
     With one class only, or none, scores are that class's share (0.5 without examples).
     """
-    sample = sampling.labelled_sample(docs, labels, label, where, rows, max_bytes)
-    return fit_texts(sample, dict_bytes, level)
+    sample = sampling.labelled_sample(docs, labels, label, where, rows, max_bytes, largest)
+    return fit_texts(sample, dict_bytes, level, balanced=balanced)
 
 
-def fit_texts(sample: list[tuple[int, str]], dict_bytes: int = DICT_BYTES, level: int = LEVEL, plain: bool = True) -> Model:
+def fit_texts(sample: list[tuple[int, str]], dict_bytes: int = DICT_BYTES, level: int = LEVEL, plain: bool = True, balanced: bool = True) -> Model:
     ys = {y for y, _ in sample}
     if ys != {0, 1}:
         share = (sum(y for y, _ in sample) + 1) / (len(sample) + 2)
@@ -110,7 +113,7 @@ def fit_texts(sample: list[tuple[int, str]], dict_bytes: int = DICT_BYTES, level
         built = rest = sample
     by = {k: [p for y, t in built if y == k for p in _slices(t)] for k in (0, 1)}
     least = min(sum(map(len, v)) for v in by.values())  # as many bytes for either class, else the larger one knows more strings
-    for v in by.values():
+    for v in by.values() if balanced else ():
         total = sum(map(len, v))
         while len(v) > 1 and total - len(v[-1]) >= least:
             total -= len(v.pop())

@@ -12,15 +12,15 @@ ROWS = 12_000
 BYTES = 48 << 20
 
 
-#: A text of more than this share of the byte bound is no example.
+#: The largest text that is an example, as a share of the byte bound, where a caller names no size.
 LARGEST = 1 / 64
 _HASHES = 1 << 40
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, where: Column | None = None, rows: int = ROWS, max_bytes: int = BYTES) -> list[tuple[int, str]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, where: Column | None = None, rows: int = ROWS, max_bytes: int = BYTES, largest: int | None = None) -> list[tuple[int, str]]:
     """At most ``rows`` pairs (label, whole text), drawn by a hash of the id, of at most ``max_bytes`` of text in all.
 
-    Null labels, ids and texts are no examples, nor is a text of more than a 64th of ``max_bytes``.
+    Null labels, ids and texts are no examples, nor is a text of more than ``largest`` bytes (by default a 64th of ``max_bytes``).
     An id that is labelled more than once counts once, with its smallest label; an id of several
     documents counts once, with the text of the smallest hash.  The draw is the same at every size:
     ids in the order of their hashes, until either bound is reached.
@@ -31,7 +31,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, where: Colum
     n = known.count()
     share = min(_HASHES, int(_HASHES * 1.1 * rows / max(n, 1)) + 1)
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("t"))
-    texts = texts.where(F.col("t").isNotNull() & (F.octet_length("t") <= int(max_bytes * LARGEST)))
+    texts = texts.where(F.col("t").isNotNull() & (F.octet_length("t") <= (int(max_bytes * LARGEST) if largest is None else largest)))
     picked = texts.join(known.where(F.col("h") < share), "id").groupBy("h", "id", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
     picked = work.write(picked.withColumn("n", F.octet_length("t")), "picked")
     total, last = 0, -1

@@ -30,7 +30,7 @@ from . import sampling
 from .common import batches
 
 THRESHOLD = 0.7
-#: Features of a model (a parameter of ``fit``), and sample texts that must hold one.
+#: Features of a model (None: all), and sample texts that must hold one; both parameters of ``fit``.
 MAX_WORDS = 4000
 MIN_TEXTS = 4
 SWAP_WEIGHT = 5.0
@@ -106,7 +106,7 @@ def swapped(words: set[str]) -> list[set[str]]:
     return [rest | {kind[(i + step) % len(kind)] for kind, i in mentioned} for step in range(1, most)]
 
 
-def _select(rows: list[tuple[int, set[str]]], max_words: int) -> list[str]:
+def _select(rows: list[tuple[int, set[str]]], max_words: int | None, min_texts: int) -> list[str]:
     """The words whose presence shifts the odds most, by a z score of the log odds ratio."""
     n = Counter(y for y, _ in rows)
     df = {0: Counter(), 1: Counter()}
@@ -115,7 +115,7 @@ def _select(rows: list[tuple[int, set[str]]], max_words: int) -> list[str]:
     score = {}
     for w in df[0].keys() | df[1].keys():
         a, b = df[1][w], df[0][w]
-        if a + b >= MIN_TEXTS:
+        if a + b >= min_texts:
             odds = np.log((a + 0.5) / (n[1] - a + 0.5)) - np.log((b + 0.5) / (n[0] - b + 0.5))
             score[w] = abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
     best = sorted(score, key=lambda w: (-score[w], w))[:max_words]
@@ -131,7 +131,7 @@ def _matrix(sets: Iterable[set[str]], index: Index) -> tuple[np.ndarray, np.ndar
     return np.array(rows, np.int64), np.array(cols, np.int64)
 
 
-def fit_texts(sample: list[tuple[int, str]], swap_weight: float = SWAP_WEIGHT, ridge: float = RIDGE, steps: int = 400, max_words: int = MAX_WORDS) -> Model:
+def fit_texts(sample: list[tuple[int, str]], swap_weight: float = SWAP_WEIGHT, ridge: float = RIDGE, steps: int = 400, max_words: int | None = MAX_WORDS, min_texts: int = MIN_TEXTS) -> Model:
     """By gradient descent with momentum over the whole sample."""
     ys = {y for y, _ in sample}
     if ys != {0, 1}:
@@ -141,7 +141,7 @@ def fit_texts(sample: list[tuple[int, str]], swap_weight: float = SWAP_WEIGHT, r
     rows = [(y, words_of(t)) for i, (y, t) in enumerate(sample) if i % 4 != 3]
     if {y for y, _ in rows} != ys or {y for y, _ in held} != ys:
         held = rows = rows + held
-    names = _select(rows, max_words)
+    names = _select(rows, max_words, min_texts)
     index = Index(names)
     rows = rows + [(0, words_of(t.format(term))) for kind in IDENTITY for term in kind for t in TEMPLATES]
     y = np.array([float(v) for v, _ in rows])
@@ -181,9 +181,10 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(min(max(w[0], 0.2), 10.0)), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, label: str = "toxic", rows: int = sampling.ROWS, max_bytes: int = sampling.BYTES, max_words: int = MAX_WORDS, swap_weight: float = SWAP_WEIGHT) -> Model:
-    """Fits on a bounded sample of labelled rows (``rows``, ``max_bytes``) for which ``where`` holds (all, if None), with at most ``max_words`` features."""
-    return fit_texts(sampling.labelled_sample(docs, labels, label, where, rows, max_bytes), swap_weight, max_words=max_words)
+def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, label: str = "toxic", rows: int = sampling.ROWS, max_bytes: int = sampling.BYTES, max_words: int | None = MAX_WORDS, min_texts: int = MIN_TEXTS, largest: int | None = None, swap_weight: float = SWAP_WEIGHT) -> Model:
+    """Fits on a bounded sample of labelled rows (``rows``, ``max_bytes``, texts of at most ``largest`` bytes, by default a 64th of ``max_bytes``)
+    for which ``where`` holds (all, if None).  Features are words and word starts that ``min_texts`` of its texts hold, the ``max_words`` most telling (None: all)."""
+    return fit_texts(sampling.labelled_sample(docs, labels, label, where, rows, max_bytes, largest), swap_weight, max_words=max_words, min_texts=min_texts)
 
 
 @functools.lru_cache(maxsize=2)

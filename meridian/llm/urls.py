@@ -8,10 +8,11 @@ allows: an explicit allow takes precedence for the page that it names, and for n
 
 Links are read from canonical ``link`` and refresh ``meta`` tags of any length, and resolved against
 the page's URL or its first ``base`` tag (RFC 3986: scheme-relative, absolute and relative paths, dot
-segments, query only).
+segments, query only).  Links in comments don't count, signs in quoted values are no ends of tags, and a URL without a
+path is its host's root.
 
-DataFrame operations only.  Rules are joined by host, from all hosts that occur to the rules of their
-suffixes, so a plan doesn't grow with the list.  A null URL, or one without ``://``, has an empty host
+DataFrame operations only.  Rules are joined by host suffix and by path prefix, so neither a plan nor a
+row grows with the list.  A null URL, or one without ``://``, has an empty host
 and path, fits no rule and has no aliases.  Rows are judged each, also if ids or URLs repeat; null
 html has no links.
 """
@@ -53,6 +54,7 @@ def path_of(url: Column) -> Column:
 def url_key(url: Column) -> Column:
     """What makes two URLs the same node: host and path with the query; scheme and fragment don't count."""
     rest = F.when(url.contains("://"), F.regexp_extract(F.substring(url, F.instr(url, "://") + 3, F.length(url)), r"(?s)\A[^/?#]*([^#]*)", 1))
+    rest = F.when(rest.rlike(r"\A(\?|\z)"), F.concat(F.lit("/"), rest)).otherwise(rest)  # no path is the root
     return F.when(host_of(url) != "", F.concat(host_of(url), rest))
 
 
@@ -93,10 +95,15 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.trim(F.replace(value, F.lit("&amp;"), F.lit("&")))
 
 
+#: A tag; signs within quotes don't end it.
+TAG = r"""(?is)<(?:link|meta|base)\b[^<>"']*+(?:(?:"[^"]*+"|'[^']*+')[^<>"']*+)*+>"""
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
     """(``a``, ``b``): keys of a page's URL and of the target of each of its canonical links and refresh redirects."""
     html, url = F.col("html").cast("string"), F.col("url").cast("string")
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta|base)\b[^<>]*+>"), F.lit(0))
+    shown = F.when(html.contains("<!--"), F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")).otherwise(html)
+    tags = F.regexp_extract_all(shown, F.lit(TAG), F.lit(0))
     found = pages.where(html.rlike(r"(?i)canonical|http-equiv") & url.contains("://")).select(url.alias("u"), tags.alias("tags"))
     base = F.get(F.filter("tags", lambda t: t.rlike(r"(?i)\A<base\b")), F.lit(0))
     found = found.select("u", "tags", F.coalesce(resolved(_attribute(base, "href"), F.col("u")), F.col("u")).alias("base"))
@@ -115,15 +122,20 @@ def rule_table(like: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def with_rules(work: Work, rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """``rows`` (host, path) and ``best``: struct of rule and verdict of the longest rule that fits, else null."""
+    """``rows`` (host, path) and ``best``: struct of rule and verdict of the longest rule that fits, else null.
+
+    A place (host and path) looks up the prefixes of its path that have the lengths of its hosts' rules; no row holds a host's rules.
+    """
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
-    hosts = rows.where("host <> ''").select("host").distinct().select("host", F.explode(suffixes).alias("h"))
-    fits = hosts.join(rules, "h").groupBy("host").agg(F.collect_set(F.struct(F.length("rule").alias("n"), (F.col("verdict") == "block").alias("b"), "p", "rule", "verdict")).alias("rules"))
-    fits = work.write(fits, "rules")  # a host's rules, of those given; written, so that Spark can split the join at a host with many pages
-    best = F.array_max(F.filter("rules", lambda r: F.col("path").startswith(r["p"])))
-    best = F.when(best.isNotNull(), F.struct(best["rule"].alias("rule"), best["verdict"].alias("verdict")))
-    return rows.join(fits, "host", "left").withColumn("best", best).drop("rules")
+    lengths = rules.select("h", F.length("p").alias("n")).distinct()
+    places = rows.where("host <> ''").select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("h"))
+    prefixes = places.join(lengths, "h").where(F.col("n") <= F.length("path")).select("host", "path", "h", F.expr("substring(path, 1, n)").alias("p"))
+    order = F.struct(F.length("rule").alias("n"), (F.col("verdict") == "block").alias("b"), "p", "rule", "verdict")
+    fits = prefixes.join(rules, ["h", "p"]).groupBy("host", "path").agg(F.max(order).alias("best"))
+    # written, so that Spark can split the join at a place with many pages
+    fits = work.write(fits.select("host", "path", F.struct("best.rule", "best.verdict").alias("best")), "rules")
+    return rows.join(fits, ["host", "path"], "left")
 
 
 def judge(work: Work, pages: DataFrame, rules: list[Rule] | DataFrame, redirects: DataFrame | None = None) -> DataFrame:
@@ -145,7 +157,7 @@ def judge(work: Work, pages: DataFrame, rules: list[Rule] | DataFrame, redirects
     nodes = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct().withColumn("node", F.monotonically_increasing_id())
     nodes = work.write(nodes, "nodes")
     ids = edges.join(nodes.toDF("a", "u"), "a").join(nodes.toDF("b", "v"), "b").select("u", "v")
-    member = components(work, ids, 100)
+    member = components(work, ids)
     nodes = nodes.join(member, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     as_url = F.concat(F.lit("x://"), F.col("key"))
     judged = with_rules(work, nodes.select("key", "component", host_of(as_url).alias("host"), path_of(as_url).alias("path")), table)
