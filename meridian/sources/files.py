@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import urllib.request
 from collections.abc import Callable, Iterator
 
@@ -24,13 +25,21 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def read_range(path: str, start: int, length: int) -> bytes:
+#: What gives the bytes (path, start, length) of a range of a file; fewer at its end.
+Transport = Callable[[str, int, int], bytes]
+
+
+def _ask(path: str, start: int, length: int, headers: dict[str, str]):
+    request = urllib.request.Request(path, headers={**headers, "Range": f"bytes={start}-{start + length - 1}"})
+    return urllib.request.urlopen(request, timeout=60)
+
+
+def read_range(path: str, start: int, length: int, headers: dict[str, str] | None = None) -> bytes:
     """Bytes of a file or an http(s) address; fewer at its end."""
     if path.startswith(("http://", "https://")):
         if length < 1:
             return b""
-        request = urllib.request.Request(path, headers={"Range": f"bytes={start}-{start + length - 1}"})
-        with urllib.request.urlopen(request, timeout=60) as answer:
+        with _ask(path, start, length, headers or {}) as answer:
             if answer.status != 206:
                 raise ValueError(f"{path}: the server doesn't give ranges")
             return answer.read()
@@ -39,6 +48,33 @@ def read_range(path: str, start: int, length: int) -> bytes:
         return file.read_at(min(length, max(file.size() - start, 0)), start)
 
 
+def with_headers(headers: dict[str, str]) -> Transport:
+    """A transport that sends ``headers`` along with every request."""
+    return functools.partial(read_range, headers=headers)
+
+
+def length_of(path: str, headers: dict[str, str] | None = None) -> int:
+    """The length of a file, or of what an http(s) address holds as its answer to a range says."""
+    if path.startswith(("http://", "https://")):
+        with _ask(path, 0, 1, headers or {}) as answer:
+            total = answer.headers.get("Content-Range", "").rpartition("/")[2]
+        if not total.isdigit():
+            raise ValueError(f"{path}: the server doesn't tell a length")
+        return int(total)
+    system, name = opened(path)
+    return system.get_file_info(name).size
+
+
+def lengths(spark: SparkSession, paths: list[str], headers: dict[str, str] | None = None) -> DataFrame:
+    """(path, length) of files and addresses, asked for in tasks."""
+
+    def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in incoming:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([length_of(p, headers) for p in batch.column(0).to_pylist()], pa.int64())], ["path", "length"])
+
+    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(len(paths), 1)).mapInArrow(run, "path string, length long")
+
+
 def read_sibling(path: str, endings: list[str]) -> bytes | None:
     """The first file beside ``path`` (without its ending) that exists."""
     for ending in endings:
