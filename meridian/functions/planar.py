@@ -107,6 +107,21 @@ def bbox(points: Column) -> Column:
     return F.when(F.size(points) > 0, box)
 
 
+def lines_bbox(lines: Column) -> Column:
+    """Of an array of lines."""
+    return bbox(F.flatten(lines))
+
+
+def multipolygon_bbox(polygons: Column) -> Column:
+    """Of the exteriors of an array of polygons."""
+    return bbox(F.flatten(F.transform(polygons, lambda p: F.coalesce(F.get(p, F.lit(0)), F.array().cast(RING)))))
+
+
+def lines_length(lines: Column) -> Column:
+    """Of an array of lines, together."""
+    return F.aggregate(lines, F.lit(0.0), lambda acc, line: acc + line_length(line))
+
+
 def polygon_bbox(polygon: Column) -> Column:
     """Of the exterior."""
     return bbox(F.get(polygon, F.lit(0)))

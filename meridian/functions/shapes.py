@@ -1,61 +1,82 @@
-"""Constructive geometry in plain Python: convex hull, simplification, validity, regular buffers."""
+"""Convex hulls and simplified lines of many rows at once, in numpy, for Arrow functions.
 
-from __future__ import annotations
-
-import math
-
-Point = tuple[float, float]
+Rows are points one after another with the number of their row, which doesn't fall.
+"""
 
+from __future__ import annotations
 
-def convex_hull(points: list[Point]) -> list[Point]:
-    """Counter-clockwise and open, without collinear vertices; fewer than three points come back as they are."""
-    ordered = sorted(points)
-    if len(ordered) < 3:
-        return ordered
-
-    def chain(sequence: list[Point]) -> list[Point]:
-        out: list[Point] = []
-        for p in sequence:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                out.pop()
-            out.append(p)
-        return out[:-1]
+import numpy as np
 
-    return chain(ordered) + chain(ordered[::-1])
 
+def _chains(x: np.ndarray, y: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which points, sorted by row and x, belong to the lower boundary of their row.
 
-def _to_segment(p: Point, a: Point, b: Point) -> float:
-    dx, dy = b[0] - a[0], b[1] - a[1]
-    square = dx * dx + dy * dy
-    t = 0.0 if square < 2.220446049250313e-16 else max(0.0, min(1.0, ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / square))
-    return math.hypot(p[0] - a[0] - t * dx, p[1] - a[1] - t * dy)
+    In rounds, points on or above the line between their neighbours go.  Of neighbours that could go at once, every other one
+    does, so that each goes by points that stay.
+    """
+    left = np.arange(len(x))
+    while True:
+        xs, ys, rs = x[left], y[left], row[left]
+        bad = np.zeros(len(left), bool)
+        if len(left) > 2:
+            turn = (xs[1:-1] - xs[:-2]) * (ys[2:] - ys[:-2]) - (ys[1:-1] - ys[:-2]) * (xs[2:] - xs[:-2])
+            bad[1:-1] = (turn <= 0) & (rs[:-2] == rs[2:])
+        if not bad.any():
+            return left
+        begins = bad & ~np.append(False, bad[:-1])
+        run = np.arange(len(bad)) - np.maximum.accumulate(np.where(begins, np.arange(len(bad)), 0))
+        left = left[~(bad & (run % 2 == 0))]
 
 
-def simplify(points: list[Point], tolerance: float) -> list[Point]:
-    """Douglas-Peucker by distance to the segment: a vertex stays if it is farther than the tolerance; both ends stay."""
-    keep = {0, len(points) - 1}
-    open_ = [(0, len(points) - 1)]
-    while open_:
-        a, b = open_.pop()
-        far, at = -1.0, -1
-        for k in range(a + 1, b):
-            d = _to_segment(points[k], points[a], points[b])
-            if d > far:
-                far, at = d, k
-        if far > tolerance:
-            keep.add(at)
-            open_ += [(a, at), (at, b)]
-    return [p for k, p in enumerate(points) if k in keep]
+def convex_hulls(xy: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices of the hull of each row's points, counter-clockwise, open and without collinear ones, and their rows.
 
+    Repeated points count once; rows of one or two points come back sorted.
+    """
+    order = np.lexsort((xy[:, 1], xy[:, 0], row))
+    xy, row = xy[order], row[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (xy[1:] != xy[:-1]).any(axis=1)
+    xy, row = xy[new], row[new]
+    below = _chains(xy[:, 0], xy[:, 1], row)
+    back = np.arange(len(row))[::-1]
+    above = back[_chains(-xy[back, 0], -xy[back, 1], -row[back])]
+    first, last = np.ones(len(row), bool), np.ones(len(row), bool)
+    first[1:] = last[:-1] = row[1:] != row[:-1]
+    above = above[~first[above] & ~last[above]]
+    place = np.concatenate([below, above])
+    rank = np.concatenate([np.arange(len(below)), len(below) + np.arange(len(above))])
+    place = place[np.lexsort((rank, row[place]))]
+    return xy[place], row[place]
 
-def buffer_point(p: Point, distance: float, segments: int) -> list[Point]:
-    """A regular polygon of at least four sides; none for a distance that isn't positive."""
-    if not distance > 0:
-        return []
-    n = max(segments, 4)
-    return [(p[0] + distance * math.cos(2 * math.pi * k / n), p[1] + distance * math.sin(2 * math.pi * k / n)) for k in range(n)]
 
+def simplified(xy: np.ndarray, row: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which points stay when lines are simplified by the distance to the segment between points that stay (Douglas and Peucker).
 
-def area(ring: list[Point]) -> float:
-    """Signed; counter-clockwise is positive."""
-    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) / 2 if len(ring) > 2 else 0.0
+    All open stretches of all rows are split together, so there are as many rounds as the deepest line has splits.
+    """
+    keep = np.ones(len(row), bool)
+    keep[1:-1] = (row[1:-1] != row[:-2]) | (row[1:-1] != row[2:])
+    ends = np.flatnonzero(keep)
+    a, b = ends[:-1], ends[1:]
+    inner = (row[a] == row[b]) & (b - a > 1)
+    a, b = a[inner], b[inner]
+    while len(a):
+        n = b - a - 1
+        start = np.cumsum(n) - n
+        which = np.repeat(np.arange(len(a)), n)
+        k = np.arange(len(which)) - start[which] + a[which] + 1
+        d = xy[b] - xy[a]
+        square = (d * d).sum(axis=1)
+        off = xy[k] - xy[a][which]
+        t = np.clip((off * d[which]).sum(axis=1) / np.where(square > 0, square, 1.0)[which], 0.0, 1.0)
+        far = np.hypot(*(off - t[:, None] * d[which]).T)
+        most = np.maximum.reduceat(far, start)
+        at = np.flatnonzero(far == most[which])
+        at = k[at[np.unique(which[at], return_index=True)[1]]]  # the first of equals
+        split = most > tolerance
+        keep[at[split]] = True
+        a, b = np.concatenate([a[split], at[split]]), np.concatenate([at[split], b[split]])
+        wide = b - a > 1
+        a, b = a[wide], b[wide]
+    return keep

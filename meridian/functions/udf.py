@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.sources import codecs
 
-from . import shapes
+from . import batches, shapes
 
 
 def _each(function: Callable, kind: pa.DataType, strict: bool) -> Callable[[pa.Array], pa.Array]:
@@ -37,10 +40,6 @@ def _udf(function: Callable, spark_type: str, kind: pa.DataType, strict: bool =
     return F.arrow_udf(call, spark_type)
 
 
-def _points(line: list[dict]) -> list[tuple[float, float]]:
-    return [(p["x"], p["y"]) for p in line]
-
-
 _LINE = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
 _LINE_SQL = "array<struct<x:double,y:double>>"
 
@@ -71,16 +70,59 @@ def st_points(wkb: Column, strict: bool = True) -> Column:
     return _udf(lambda b: [{"x": x, "y": y} for x, y in codecs.positions(codecs.from_wkb(b))], _LINE_SQL, _LINE, strict)(wkb)
 
 
+def _lines(xy: np.ndarray, row: np.ndarray, like: pa.Array) -> pa.Array:
+    points = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(xy[:, k])) for k in (0, 1)], ["x", "y"])
+    out = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(like) + 1)), pa.int32()), points)
+    return pc.if_else(like.is_valid(), out, pa.scalar(None, out.type))
+
+
 def st_convexhull(points: Column) -> Column:
-    return _udf(lambda line: [{"x": x, "y": y} for x, y in shapes.convex_hull(_points(line))], _LINE_SQL, _LINE)(points)
+    """The convex hull of a line's vertices as an open, counter-clockwise ring."""
 
+    def call(lines: pa.Array) -> pa.Array:
+        lines = batches.whole(lines)
+        flat, row = batches.elements(lines, np.arange(len(lines)))
+        return _lines(*shapes.convex_hulls(batches.coordinates(flat), row), lines)
 
-def st_simplify(line: Column, tolerance: float) -> Column:
-    return _udf(lambda ps: [{"x": x, "y": y} for x, y in shapes.simplify(_points(ps), tolerance)], _LINE_SQL, _LINE)(line)
+    return F.arrow_udf(call, _LINE_SQL)(points)
 
 
-def st_bufferpoint(point: Column, distance: float, segments: int) -> Column:
-    return _udf(lambda p: [{"x": x, "y": y} for x, y in shapes.buffer_point((p["x"], p["y"]), distance, segments)], _LINE_SQL, _LINE)(point)
+def st_simplify(line: Column, tolerance: float) -> Column:
+    """A line less the vertices within ``tolerance`` of what is left; both ends stay."""
+
+    def call(lines: pa.Array) -> pa.Array:
+        lines = batches.whole(lines)
+        flat, row = batches.elements(lines, np.arange(len(lines)))
+        xy = batches.coordinates(flat)
+        keep = shapes.simplified(xy, row, tolerance)
+        return _lines(xy[keep], row[keep], lines)
+
+    return F.arrow_udf(call, _LINE_SQL)(line)
+
+
+def _measured(b: bytes) -> dict:
+    """Area, length and corners of a geometry of any kind; collections and multi-geometries sum up."""
+    kind, c = codecs.from_wkb(b)
+    at = codecs.positions((kind, c))
+    members = c if kind == "GeometryCollection" else [(kind.removeprefix("Multi"), m) for m in c] if kind.startswith("Multi") else [(kind, c)]
+    area = length = 0.0
+    for name, m in members:
+        if name in ("GeometryCollection",) or name.startswith("Multi"):
+            inner = _measured(codecs.to_wkb((name, m)))
+            area, length = area + inner["area"], length + inner["length"]
+        elif name == "Polygon":
+            sizes = [abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(r, r[1:] + r[:1], strict=True))) / 2 for r in m]
+            area += sizes[0] - sum(sizes[1:]) if sizes else 0.0
+        elif name == "LineString":
+            length += sum(math.dist(p, q) for p, q in zip(m, m[1:], strict=False))
+    box = {"xmin": min(p[0] for p in at), "ymin": min(p[1] for p in at), "xmax": max(p[0] for p in at), "ymax": max(p[1] for p in at)} if at else dict.fromkeys(("xmin", "ymin", "xmax", "ymax"))
+    return {"area": area, "length": length, **box}
+
+
+def st_measures(wkb: Column, strict: bool = True) -> Column:
+    """Struct (area of polygons less holes, length of lines, xmin, ymin, xmax, ymax) of a geometry of any kind in the plane."""
+    names = ("area", "length", "xmin", "ymin", "xmax", "ymax")
+    return _udf(_measured, ", ".join(f"{n} double" for n in names), pa.struct([(n, pa.float64()) for n in names]), strict)(wkb)
 
 
 def register_all(spark: SparkSession) -> None:

@@ -24,7 +24,7 @@ PIECE = 32 << 20
 # Shape codes, with the codes of their Z and M forms.
 POINT, POLYLINE, POLYGON, MULTIPOINT = 1, 3, 5, 8
 FLAT = {11: POINT, 21: POINT, 13: POLYLINE, 23: POLYLINE, 15: POLYGON, 25: POLYGON, 18: MULTIPOINT, 28: MULTIPOINT}
-SHAPES = {"Point": POINT, "LineString": POLYLINE, "MultiLineString": POLYLINE, "Polygon": POLYGON, "MultiPoint": MULTIPOINT}
+SHAPES = {"Point": POINT, "LineString": POLYLINE, "MultiLineString": POLYLINE, "Polygon": POLYGON, "MultiPolygon": POLYGON, "MultiPoint": MULTIPOINT}
 # Names of code pages.
 CODE_PAGES = {"UTF-8": "utf-8", "UTF8": "utf-8", "65001": "utf-8", "ISO-8859-1": "latin-1", "ISO8859-1": "latin-1", "LATIN1": "latin-1", "28591": "latin-1", "88591": "latin-1", "ISO-8859-15": "latin-1", "1252": "cp1252", "CP1252": "cp1252", "WINDOWS-1252": "cp1252", "ANSI 1252": "cp1252"}
 
@@ -230,7 +230,7 @@ def _record(g: codecs.Geometry | None) -> bytes:
     elif kind == "MultiLineString":
         parts = list(c)
     else:
-        parts = [_turned(ring, k > 0) for k, ring in enumerate(c)]
+        parts = [_turned(ring, k > 0) for rings in ([c] if kind == "Polygon" else c) for k, ring in enumerate(rings)]
     flat = np.array([p for part in parts for p in part], "<f8").reshape(-1, 2)
     box = np.concatenate([flat.min(0), flat.max(0)]).astype("<f8").tobytes() if len(flat) else bytes(32)
     if kind == "MultiPoint":

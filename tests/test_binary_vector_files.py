@@ -75,6 +75,14 @@ def test_what_a_shapefile_cannot_hold(spark, tmp_path):
     assert shapefile.fields_of(made(spark, ["POINT (1 1)"] * 2, mixed)) == [("a", "L", 1, 0), ("b", "N", 2, 0), ("c", "N", 10, 8), ("d", "C", 1, 0), ("e", "C", 3, 0)]
 
 
+def test_multipolygons_as_one_record(spark, tmp_path):
+    text = "MULTIPOLYGON (((0 0, 0 4, 4 4, 4 0, 0 0), (1 1, 2 1, 2 2, 1 2, 1 1)), ((9 9, 10 9, 10 10, 9 9)))"
+    vector.write(made(spark, [text, "POLYGON ((0 0, 1 0, 1 1, 0 0))"]).coalesce(1), str(tmp_path), "shp")
+    kind, rings = codecs.from_wkb(bytes(vector.read(spark, str(tmp_path), "shapefile").orderBy("feature_id").first().geom))
+    area = lambda r: sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:], strict=False)) / 2
+    assert kind == "Polygon" and [area(r) for r in rings] == [-16, 1, -0.5]  # a record's parts: outer rings run clockwise
+
+
 def test_geopackage_tables(spark, tmp_path):
     con = sqlite3.connect(tmp_path / "a.gpkg")
     con.executescript(geopackage.SCHEMA)
