@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import Work, batches
 
 #: Stretches that a worker remembers (two generations of so many), and the longest of them.
-REMEMBERED, REMEMBERED_CHARS = 120_000, 48
+REMEMBERED, REMEMBERED_CHARS = 250_000, 48
 #: Text that is aligned together, in bytes.
 AT_ONCE = 3 << 20
 #: Pairs of ids that are broadcast to be looked up (about 40 bytes each); more are joined by a shuffle.
@@ -67,6 +67,10 @@ def align(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends), np.intersect1d(a_ends, b_ends, assume_unique=True)
 
 
+#: The record of a stretch whose token bytes aren't its own.
+BAD = (0, 0, 0, b"", b"")
+
+
 class Aligner:
     """Aligns stretches of texts, without the space that each starts with."""
 
@@ -112,8 +116,8 @@ class Aligner:
             out[k] = found.ids
         return out
 
-    def _learn(self, stretches: list[str]) -> list[tuple | None]:
-        """(A tokens, B tokens, groups, links as pairs of ids, groups as text with a semicolon behind each) of each, None where the bytes differ."""
+    def _learn(self, stretches: list[str]) -> list[tuple]:
+        """(A tokens, B tokens, groups, links as pairs of ids, groups as text with a semicolon behind each) of each, BAD where the bytes differ."""
         if not stretches:
             return []
         a = self._a_ids(stretches)
@@ -130,7 +134,7 @@ class Aligner:
             for k in range(len(ids)):
                 good[k] = good[k] and b"".join([table[t] for t in ids[k]]) == wholes[k]
         kept = np.flatnonzero(good)
-        out: list[tuple | None] = [None] * len(stretches)
+        out = [BAD] * len(stretches)
         if not len(kept):
             return out
         n_a, n_b = (np.array([len(ids[k]) for k in kept]) for ids in (a, b))
@@ -155,23 +159,21 @@ class Aligner:
             out[k] = (x, y, z, raw[p0:p1], text[t0:t1])
         return out
 
-    def records(self, stretches: list[str]) -> list[tuple | None]:
-        """The record of each of these distinct stretches."""
-        known = {}
-        for s in stretches:
-            found = self.now.get(s, self)
-            if found is self and (found := self.before.get(s, self)) is not self:
-                self.now[s] = found
-            if found is not self:
-                known[s] = found
-        missing = [s for s in stretches if s not in known]
+    def records(self, stretches: list[str]) -> list[tuple]:
+        """The record of each of these distinct stretches; BAD where the bytes differ."""
+        now, before = self.now.get, self.before.get
+        out = [now(s) or before(s) for s in stretches]
+        missing = [s for s, r in zip(stretches, out, strict=True) if r is None]
+        if self.before:
+            self.now.update((s, r) for s, r in zip(stretches, out, strict=True) if r is not None and s in self.before)
         if missing:
-            fresh = dict(zip(missing, self._learn(missing), strict=True))
-            known |= fresh
-            self.now.update((s, r) for s, r in fresh.items() if len(s) <= REMEMBERED_CHARS)
+            learnt = self._learn(missing)
+            self.now.update((s, r) for s, r in zip(missing, learnt, strict=True) if len(s) <= REMEMBERED_CHARS)
+            fresh = iter(learnt)
+            out = [next(fresh) if r is None else r for r in out]
         if len(self.now) > REMEMBERED:
             self.before, self.now = self.now, {}
-        return [known[s] for s in stretches]
+        return out
 
 
 def stretches(text: str) -> list[str]:
@@ -196,25 +198,25 @@ def aligned(own: Aligner, texts: list[str], with_groups: bool = False) -> dict[s
     found = own.records(list(place))
     code = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
     bounds = np.concatenate([[0], np.cumsum([len(c) for c in cut], dtype=np.int64)])
-    bad = np.fromiter((r is None for r in found), bool, len(found))
-    wrong = np.concatenate([[0], np.cumsum(bad[code])])
+    *each, links_of, names = zip(*found, strict=True) if found else ((),) * 5
+    each = [np.array(v, np.int64) for v in (*each, list(map(len, links_of)))]
+    wrong = np.concatenate([[0], np.cumsum((each[0] == 0)[code])])
     wrong = wrong[bounds[1:]] > wrong[bounds[:-1]]
 
-    def total(k: int) -> tuple[np.ndarray, np.ndarray]:
-        each = np.fromiter((0 if r is None else r[k] if k < 3 else len(r[3]) // 8 for r in found), np.int64, len(found))
-        sums = np.concatenate([[0], np.cumsum(each[code])])
-        return each, np.where(wrong, 0, sums[bounds[1:]] - sums[bounds[:-1]])
+    def total(v: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(v[code])])
+        return np.where(wrong, 0, sums[bounds[1:]] - sums[bounds[:-1]])
 
-    out = {name: pa.array(total(k)[1]) for k, name in enumerate(("n_a", "n_b", "n_groups"))}
-    size, n_links = total(3)
-    names = [None if r is None else r[4] for r in found]
+    size = each[3] // 8
+    out = {name: pa.array(total(v)) for name, v in zip(("n_a", "n_b", "n_groups"), each, strict=False)}
+    n_links = total(size)
     groups, digests = [], []
     for k in range(len(texts)):
         text = b"" if wrong[k] else b"".join([names[c] for c in code[bounds[k] : bounds[k + 1]].tolist()])[:-1]
         groups.append(text.decode() if with_groups else None)
         digests.append(hashlib.sha256(text).hexdigest() if text else "")
 
-    pairs, which = np.unique(np.frombuffer(b"".join(r[3] for r in found if r is not None), np.int64), return_inverse=True)
+    pairs, which = np.unique(np.frombuffer(b"".join(links_of), np.int64), return_inverse=True)
     first = np.cumsum(size) - size
     doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
     if wrong.any():
