@@ -1,43 +1,59 @@
-"""Nearest boxes: the probes of an index, as growing squares of grid cells."""
+"""Nearest boxes: two equi-joins on cells of doubling widths, no rounds."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridian.functions import planar
 
-from .joins import _cell, cover
+from .joins import COVER, LEVELS
 
 
-def nearest_boxes(probes: DataFrame, boxes: DataFrame, k: int, size: float | None = None, probe_id: str = "probe", box_id: str = "zone_id") -> DataFrame:
-    """The ``k`` boxes nearest to each probe (id, x, y) with distance ``d`` and ``rank``; lower ids win ties.
+def nearest_boxes(probes: DataFrame, boxes: DataFrame, k: int, size: float | None = None, probe_id: str = "probe", box_id: str = "zone_id", within: float | None = None) -> DataFrame:
+    """The ``k`` boxes nearest to each probe (id, x, y) with distance ``d`` and ``rank``; lower ids win ties.  ``within``: none farther than that.
 
-    A probe looks at its cell and the eight around it; where fewer than ``k`` boxes are surely
-    nearest (within a cell's width), it goes on with cells four times as wide, in the end with one
-    cell for everything.
+    Cells of ``size`` and its doublings hold the boxes that come within a cell of them.  The first level at which a probe's
+    cell holds ``k`` boxes bounds its distances by their farthest corners, the ``k``-th of them; all boxes within that bound are in the
+    probe's cell at the first level as wide as it.  No boxes or k below 1: no rows.
     """
-    box = F.struct("xmin", "ymin", "xmax", "ymax")
-    extent = boxes.agg(F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax"), F.avg(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))), F.count("*")).first()
-    span = probes.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    corners = ("xmin", "ymin", "xmax", "ymax")
+    known = boxes.select(box_id, *corners).where("xmin is not null")
+    open_ = probes.select(probe_id, "x", "y").where("x - x = 0 and y - y = 0")
+    extent = known.agg(F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax"), F.avg(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))), F.count("*")).first()
+    span = open_.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
     if not extent[5] or span[0] is None or k < 1:
-        return probes.select(probe_id).join(boxes.select(box_id).limit(0)).select(probe_id, box_id, F.lit(0.0).alias("d"), F.lit(1).alias("rank")).limit(0)
+        kind = {c: t for c, t in boxes.dtypes}[box_id]
+        return open_.select(probe_id, F.lit(None).cast(kind).alias(box_id), F.lit(0.0).alias("d"), F.lit(1).alias("rank")).limit(0)
     farthest = max(max(extent[2], span[2]) - min(extent[0], span[0]), max(extent[3], span[3]) - min(extent[1], span[1]), 1e-9)
-    step = size or max(extent[4] or 0, farthest / max(1.0, (extent[5] / (2 * k)) ** 0.5), 1e-9)
-    open_, done = probes.select(probe_id, "x", "y"), None
-    around = F.sequence(F.lit(-1), F.lit(1))
-    best = Window.partitionBy(probe_id).orderBy("d", box_id)
-    while True:
-        last = step >= farthest
-        near = open_.withColumn("_cx", F.explode(F.transform(around, lambda d: _cell(F.col("x"), step) + d))).withColumn("_cy", F.explode(F.transform(around, lambda d: _cell(F.col("y"), step) + d)))
-        pairs = near.join(cover(boxes.select(box_id, "xmin", "ymin", "xmax", "ymax"), step), ["_cx", "_cy"])
-        pairs = pairs.select(probe_id, box_id, planar.box_distance(box, F.col("x"), F.col("y")).alias("d")).distinct()
-        found = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        if not last:
-            sure = found.where(F.col("d") <= step).groupBy(probe_id).count().where(F.col("count") == k).select(probe_id)
-            found = found.join(sure, probe_id, "left_semi")
-            open_ = open_.join(sure, probe_id, "left_anti")
-        done = found if done is None else done.unionByName(found)
-        if last:
-            return done
-        step *= 4
+    step = max(size or max(extent[4] or 0, farthest / max(1.0, extent[5] ** 0.5)), farthest / (1 << LEVELS))
+    levels = max(0, math.ceil(math.log2(2 * farthest / step))) + 1
+    x, y = F.col("x"), F.col("y")
+
+    def at(rows: DataFrame, level: Column) -> DataFrame:
+        return rows.withColumn("_level", level).withColumn("_step", F.lit(step) * F.pow(F.lit(2.0), F.col("_level")))
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))
+    reach = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / F.col("_step")).cast("long") - 1, F.floor(F.col(high) / F.col("_step")).cast("long") + 1))
+    cell = lambda rows: rows.withColumns({"_cx": F.floor(x / F.col("_step")).cast("long"), "_cy": F.floor(y / F.col("_step")).cast("long")})
+    keys = ["_level", "_cx", "_cy"]
+    # a box of many cells is left to the levels at which it has few, and to the last
+    small = (F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")) <= COVER * F.col("_step")) | (F.col("_level") == levels - 1)
+    held = at(known, every).where(small).withColumn("_cx", reach("xmin", "xmax")).withColumn("_cy", reach("ymin", "ymax"))
+    full = held.groupBy(*keys).agg(F.count("*").alias("_n")).where((F.col("_n") >= k) | (F.col("_level") == levels - 1)).select(*keys)
+    first = cell(at(open_, every)).join(full, keys, "left_semi").groupBy(probe_id, "x", "y").agg(F.min("_level").alias("_level"))
+    far = F.sqrt(F.pow(F.greatest(F.abs(x - F.col("xmin")), F.abs(x - F.col("xmax"))), 2) + F.pow(F.greatest(F.abs(y - F.col("ymin")), F.abs(y - F.col("ymax"))), 2))
+    by_far = Window.partitionBy(probe_id, "x", "y").orderBy("_far")
+    nth = cell(at(first, F.col("_level"))).join(held.drop("_step"), keys).select(probe_id, "x", "y", far.alias("_far")).withColumn("_rank", F.row_number().over(by_far))
+    bound = nth.where(F.col("_rank") <= k).groupBy(probe_id, "x", "y").agg(F.max("_far").alias("_bound"))
+    if within is not None:
+        bound = bound.withColumn("_bound", F.least("_bound", F.lit(float(within))))
+    wide = F.greatest(F.lit(0), F.least(F.lit(levels - 1), F.ceil(F.log2(F.greatest("_bound", F.lit(step)) / step)))).cast("int")
+    cover_all = at(known, every).withColumn("_cx", reach("xmin", "xmax")).withColumn("_cy", reach("ymin", "ymax"))
+    near = cell(at(bound, wide)).join(cover_all.drop("_step"), keys)
+    d = planar.box_distance(F.struct(*corners), x, y)
+    near = near.select(probe_id, "x", "y", box_id, d.alias("d"), "_bound").where(F.col("d") <= F.col("_bound") * (1 + 1e-12))
+    best = Window.partitionBy(probe_id, "x", "y").orderBy("d", box_id)
+    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(probe_id, box_id, "d", "rank")
