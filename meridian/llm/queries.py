@@ -112,5 +112,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_binary_codes": embdedup.ORACLE_SQL,
     "op5_redirects": urls.ORACLE_SQL,
     "op9_line_runs": lines.ORACLE_SQL,
+    "op11_rlz": rlz.ORACLE_SQL,
     "op13_fim": fim.ORACLE_SQL,
 }

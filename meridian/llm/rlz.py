@@ -295,3 +295,16 @@ def parse(work: Work, docs: DataFrame, length: int = LENGTH, broadcast_ids: int
     return read.select("_row", "doc_id", "n_words", "sha").join(cut, "_row", "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("factors", none).alias("factors"), "kept"
     )
+
+
+#: Held against op11 in DuckDB: every window as text, counted over the corpus.
+ORACLE_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 33, 1))) AS i FROM w)),
+again AS (SELECT k FROM starts GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT doc_id, i FROM starts JOIN again USING (k)),
+word AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+seen AS (SELECT word.doc_id, word.i, x, max(hit.i) OVER (PARTITION BY word.doc_id ORDER BY word.i) AS last FROM word LEFT JOIN hit ON hit.doc_id = word.doc_id AND hit.i = word.i),
+kept AS (SELECT doc_id, count(*) FILTER (WHERE last IS NOT NULL AND i < last + 35) AS n_removed, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (WHERE last IS NULL OR i >= last + 35), '') AS t FROM seen GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
