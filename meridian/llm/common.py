@@ -106,6 +106,10 @@ def _mark(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+#: Edges of a graph that one file of a written round holds, where there are more files than cores.
+EDGES_A_FILE = 500_000
+
+
 def components(work: Work, edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph with long node ids (columns ``u``, ``v``).
 
@@ -121,15 +125,17 @@ def components(work: Work, edges: DataFrame) -> DataFrame:
     if not mark[0]:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     while True:
+        # what follows has about as many rows: tables of few are written as few files, whatever the number of shuffle partitions
+        files = max(work.spark.sparkContext.defaultParallelism, mark[0] // EDGES_A_FILE)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written, so that Spark can split the join at a node with many edges
-        low = work.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        low = work.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(files), "low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = work.write(large.where("u <> v").distinct(), "large")  # u > v from here on
+        large = work.write(large.where("u <> v").distinct().coalesce(files), "large")  # u > v from here on
         work.drop(low)
-        low = work.write(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        low = work.write(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(files), "low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
-        small = work.write(small.select("e.u", "e.v").where("u <> v").distinct(), "small")
+        small = work.write(small.select("e.u", "e.v").where("u <> v").distinct().coalesce(files), "small")
         now = _mark(small)
         work.drop(edges, large, low)
         edges = small
