@@ -138,7 +138,7 @@ def clip_intersection_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("dataset_summary", """WITH b AS (SELECT count(*) AS features, min(cx-h) AS xmin, min(cy-h) AS ymin, max(cx+h) AS xmax, max(cy+h) AS ymax, max(shape) AS s FROM zones)
  SELECT kind, features, xmin, ymin, xmax, ymax, CASE WHEN s > 0 THEN 'h,shape,zone_id' ELSE 'h,zone_id' END AS properties FROM b CROSS JOIN (VALUES ('Polygon'), ('*')) k(kind)""")
 def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = vector.summarize(zone_features(spark, sf_dir))
+    told = vector.summarize(zone_features(spark, sf_dir), total=True)
     return told.withColumn("properties", F.array_join("properties", ","))
 
 

@@ -134,13 +134,14 @@ def write(features: DataFrame, folder: str, fmt: str) -> None:
         raise ValueError(f"{fmt} can't be written")
 
 
-def summarize(features: DataFrame) -> DataFrame:
-    """A row for each geometry type (null: features without geometry), and one for all (``kind`` is ``*``), with count, bounds and the sorted names of properties."""
+def summarize(features: DataFrame, total: bool = False) -> DataFrame:
+    """A row for each geometry type (null: features without geometry) with count, bounds and the sorted names of properties; with ``total`` one for all of them, of kind ``*``."""
     from meridian.functions import planar
     from meridian.functions.udf import st_geometrytype, st_points
 
     boxed = features.select(st_geometrytype(F.col("geom")).alias("kind"), planar.bbox(st_points(F.col("geom"))).alias("b"), F.json_object_keys("props").alias("keys"))
-    each = boxed.select(F.explode(F.array(F.struct(F.lit(False).alias("all"), "kind"), F.struct(F.lit(True).alias("all"), F.lit("*").alias("kind")))).alias("k"), "b", "keys")
+    kinds = [F.struct(F.lit(False).alias("all"), "kind"), F.struct(F.lit(True).alias("all"), F.lit("*").alias("kind"))]
+    each = boxed.select(F.explode(F.array(*kinds[: 1 + total])).alias("k"), "b", "keys")
     counts = each.groupBy("k").agg(F.count("*").alias("features"), F.min("b.xmin").alias("xmin"), F.min("b.ymin").alias("ymin"), F.max("b.xmax").alias("xmax"), F.max("b.ymax").alias("ymax"))
     names = each.select("k", F.explode("keys").alias("name")).distinct().groupBy("k").agg(F.sort_array(F.collect_list("name")).alias("properties"))
     return counts.join(names, counts["k"].eqNullSafe(names["k"]), "left").select(counts["k.kind"].alias("kind"), "features", "xmin", "ymin", "xmax", "ymax", F.coalesce("properties", F.array().cast("array<string>")).alias("properties"))

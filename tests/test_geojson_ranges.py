@@ -96,5 +96,5 @@ def test_summaries_and_problems(spark, tmp_path):
     problems = sorted((r.feature_id, r.part, r.problem) for r in vector.validate(read).collect())
     line, ring = "a line needs two vertices", "not a valid polygon"
     assert problems == [(1, "1", ring), (2, "1/1", line), (2, "2", ring), (3, "", "no geometry"), (4, "", line), (5, "", "no parts")]
-    got = {r.kind: (r.features, r.xmax, r.properties) for r in vector.summarize(read).collect()}
+    got = {r.kind: (r.features, r.xmax, r.properties) for r in vector.summarize(read, total=True).collect()}
     assert got["*"] == (6, 9.0, ["a", "b", "c"]) and got["Polygon"] == (1, 4.0, ["b", "c"]) and got[None] == (1, None, ["a"])
