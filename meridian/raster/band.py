@@ -240,16 +240,26 @@ def sample_average(areas: DataFrame, cells: DataFrame, m: BandMeta, key: str) ->
     left, top = m.transform.to_cell(F.col("xmin"), F.col("ymax"))
     right, bottom = m.transform.to_cell(F.col("xmax"), F.col("ymin"))
 
-    def span(a: Column, b: Column, n: int) -> Column:
+    def span(a: Column, b: Column, n: int) -> tuple[Column, Column]:
         first = F.greatest(F.lit(0), F.least(F.floor(a), F.lit(n - 1)))
-        end = F.greatest(F.greatest(F.lit(1), F.least(F.ceil(b), F.lit(n))), first + 1)
-        return F.sequence(first.cast("int"), (end - 1).cast("int"))
+        return first.cast("int"), F.greatest(F.greatest(F.lit(1), F.least(F.ceil(b), F.lit(n))), first + 1).cast("int")
 
     finite = F.lit(True)
     for c in (left, top, right, bottom):
         finite = finite & (F.abs(c) < float("inf"))
-    under = areas.where(finite).select(key, F.explode(span(left, right, m.width)).alias("x"), span(top, bottom, m.height).alias("_ys")).select(key, "x", F.explode("_ys").alias("y"))
-    found = under.join(cells.select("x", "y", m.valid(F.col("v")).alias("v")), ["x", "y"]).groupBy(key).agg(F.avg("v").alias("v"))
+    (x0, x1), (y0, y1) = span(left, right, m.width), span(top, bottom, m.height)
+    under = areas.where(finite).select(key, F.explode(F.sequence(x0, x1 - 1)).alias("x"), y0.alias("_y0"), y1.alias("_y1"))
+    tallest = under.agg(F.max(F.col("_y1") - F.col("_y0"))).first()[0] or 1
+    levels = F.explode(F.sequence(F.lit(0), F.lit(tallest.bit_length() - 1))).alias("_level")
+    # the cells of a column in blocks of 1, 2, 4, ... ; a rectangle takes two of each size at most
+    power = F.pow(F.lit(2.0), F.col("_level"))
+    valued = cells.select("x", "y", m.valid(F.col("v")).alias("v")).where("v is not null")
+    blocks = valued.select("x", "y", "v", levels).groupBy("x", "_level", F.floor(F.col("y") / power).cast("int").alias("_block")).agg(F.sum("v").alias("_sum"), F.count("v").alias("_n"))
+    under = under.select("*", levels).withColumns({"_l": F.ceil(F.col("_y0") / power).cast("int"), "_r": F.floor(F.col("_y1") / power).cast("int")})
+    l, r = F.col("_l"), F.col("_r")  # noqa: E741
+    taken = F.array(F.when((l % 2 == 1) & (l < r), l), F.when((r % 2 == 1) & (l + l % 2 < r), r - 1))
+    wanted = under.select(key, "x", "_level", F.explode(F.array_compact(taken)).alias("_block"))
+    found = wanted.join(blocks.hint("merge"), ["x", "_level", "_block"]).groupBy(key).agg((F.sum("_sum") / F.sum("_n")).alias("v"))
     return areas.select(key).join(found, key, "left")
 
 
