@@ -15,8 +15,8 @@ from .planar_queries import STRIPS, polygons, query, r, zone_pairs
 def _area(name: str, sql: str, operation: str) -> None:
     @query(name, f"WITH {STRIPS} SELECT left_id, right_id, round(CAST({sql} AS DOUBLE), 4) AS area FROM p")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        shape = overlay.clip(F.col("polygon_l"), F.col("polygon_r"), operation)
-        return zone_pairs(spark, sf_dir).select("left_id", "right_id", r(planar.multipolygon_area(shape), 4).alias("area"))
+        area = overlay.clip_area(F.col("polygon_l"), F.col("polygon_r"), operation)
+        return zone_pairs(spark, sf_dir).select("left_id", "right_id", r(area, 4).alias("area"))
 
 
 _area("clip_common_area", "meet", "intersection")
