@@ -143,7 +143,7 @@ def _judged(work: Work, docs: DataFrame, min_chars: int) -> DataFrame:
     runs = repeated_runs(work, lines, min_chars)
     gone = work.write(_removals(runs), "gone")
     work.drop(lines, runs)
-    out = rows.join(gone, DOC, "left")
+    out = rows.join(gone.hint("merge"), DOC, "left")  # documents are shuffled at any size: the disk that takes grows with them, not by a jump
     return out.select("own", _delete(text, F.coalesce("at", F.array().cast("array<int>"))).alias("done"))
 
 
