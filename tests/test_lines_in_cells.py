@@ -31,3 +31,9 @@ def test_a_segment_takes_the_cells_that_it_passes(spark):
     one = spark.createDataFrame([(_ring([(0.5, 0.5), (99.5, 99.4)]),)], f"line {planar.RING}").select(F.explode(planar.segments(F.col("line"))).alias("_s"))
     boxed = one.withColumns({"xmin": F.lit(0.5), "ymin": F.lit(0.5), "xmax": F.lit(99.5), "ymax": F.lit(99.4)})
     assert joins._passed(boxed, 1.0).count() < 210  # 10,000 in its box
+
+
+def test_an_end_a_last_digit_off_a_side_touches_it(spark):
+    a = spark.createDataFrame([(1, _ring([(-5, 1), (-1e-13, 1)])), (2, _ring([(-5, 1), (-1e-3, 1)]))], f"line_id int, line {planar.RING}")
+    z = spark.createDataFrame([(7, [_ring([(0, 0), (2, 0), (2, 2), (0, 2)])])], f"zone_id int, polygon {planar.POLYGON}")
+    assert [tuple(r) for r in joins.line_polygon_join(a, z, 1.0).collect()] == [(1, 7)]
