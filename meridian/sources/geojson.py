@@ -7,6 +7,8 @@ sums over the chunks of a file give each its true start, and a second scan finds
 
 A chunk starts behind a byte that is no backslash, so that it never starts within an escape.  What lies outside of
 features isn't checked for being JSON.
+
+Neighbouring chunks go to one task in order, which reads ahead, so that chunks may be small.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from .files import listing, read_range
 
 QUOTE, ESCAPE, COLON = b'"'[0], b"\\"[0], b":"[0]
-#: How far back a member's name is looked for, and how much is read on at a time for an object that its chunk doesn't end.
-NAME_BYTES, MORE = 4096, 1 << 20
+#: How far back a member's name is looked for, how much is read on at first for an object that its chunk doesn't end, and how much of a file one task reads in order and at a time, if chunks are smaller.
+NAME_BYTES, MORE, RUN_BYTES = 4096, 4096, 1 << 17
 
 
 def _steps() -> np.ndarray:
@@ -35,22 +37,38 @@ def _steps() -> np.ndarray:
 _STEP = _steps()
 
 
-def _start(path: str, at: int) -> int:
+class _Ahead:
+    """Ranges of files that are asked for one behind the other: what was read last is kept, with some bytes before and behind it."""
+
+    def __init__(self) -> None:
+        self.path, self.low, self.held, self.whole = None, 0, b"", False
+
+    def __call__(self, path: str, start: int, length: int) -> bytes:
+        end = self.low + len(self.held)
+        if path != self.path or start < self.low or (start + length > end and not self.whole):
+            self.path, self.low = path, max(start - NAME_BYTES, 0)
+            wanted = start - self.low + max(length, RUN_BYTES)
+            self.held = read_range(path, self.low, wanted)
+            self.whole = len(self.held) < wanted
+        return self.held[start - self.low : start - self.low + length]
+
+
+def _start(read: _Ahead, path: str, at: int) -> int:
     """The first place from ``at`` on that doesn't follow a backslash."""
     while at:
-        near = read_range(path, at - 1, 4096)
-        free = [k for k, c in enumerate(near) if c != ESCAPE]
-        if free:
-            return at + free[0]
+        near = read(path, at - 1, 4096)
+        free = next((k for k, c in enumerate(near) if c != ESCAPE), None)
+        if free is not None:
+            return at + free
         if not near:
             return at
         at += len(near)
     return 0
 
 
-def _chunk(path: str, at: int, end: int) -> tuple[int, np.ndarray]:
-    first = _start(path, at)
-    return first, np.frombuffer(read_range(path, first, max(_start(path, end) - first, 0)), np.uint8)
+def _chunk(read: _Ahead, path: str, at: int, end: int) -> tuple[int, np.ndarray]:
+    first = _start(read, path, at)
+    return first, np.frombuffer(read(path, first, max(_start(read, path, end) - first, 0)), np.uint8)
 
 
 def _quotes(data: np.ndarray) -> tuple[np.ndarray, int]:
@@ -75,41 +93,43 @@ def _table(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
 
 def _tallies(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each chunk: its quotes modulo 2 and the sum of its brackets if it starts outside and inside of a string."""
+    read = _Ahead()
     for batch in incoming:
         rows = []
         for path, k, at, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            _, data = _chunk(path, at, end)
+            _, data = _chunk(read, path, at, end)
             before, odd = _quotes(data)
             step = _STEP[data]
             rows.append((path, k, at, end, odd, int(step[before == 0].sum()), int(step[before == 1].sum())))
         yield _table(rows, path=pa.string(), k=pa.int64(), start=pa.int64(), stop=pa.int64(), odd=pa.int32(), out=pa.int32(), within=pa.int32())
 
 
-def _scan(path: str, at: int, end: int, inside: int, depth: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+def _scan(read: _Ahead, path: str, at: int, end: int, inside: int, depth: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """First byte of a chunk, its bytes, the places of brackets outside of strings, and the depth before each."""
-    first, data = _chunk(path, at, end)
+    first, data = _chunk(read, path, at, end)
     before, _ = _quotes(data)
     places = np.flatnonzero((_STEP[data] != 0) & (before == inside))
     steps = _STEP[data[places]].astype(np.int64)
     return first, data, places, depth + np.cumsum(steps) - steps
 
 
-def _is_features(path: str, place: int) -> bool:
+def _is_features(read: _Ahead, path: str, place: int) -> bool:
     """Whether the array at a place is the member ``features``."""
     back = min(NAME_BYTES, place)
-    return read_range(path, place - back, back).rstrip().removesuffix(b":").rstrip().endswith(b'"features"')
+    return read(path, place - back, back).rstrip().removesuffix(b":").rstrip().endswith(b'"features"')
 
 
 def _events(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Where arrays that are members of a root object open and close, whether they are ``features``, and how many objects lie directly in one, or in the root, from a place on."""
+    read = _Ahead()
     for batch in incoming:
         rows = []
         for path, k, at, end, inside, depth in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            first, data, places, deep = _scan(path, at, end, inside, depth)
+            first, data, places, deep = _scan(read, path, at, end, inside, depth)
             kind = data[places]
             opened = np.flatnonzero((kind == b"["[0]) & (deep == 1))
             closed = np.flatnonzero((kind == b"]"[0]) & (deep == 2))
-            rows += [(path, k, int(first + places[i]), 1 if _is_features(path, int(first + places[i])) else 0, 0) for i in opened]
+            rows += [(path, k, int(first + places[i]), 1 if _is_features(read, path, int(first + places[i])) else 0, 0) for i in opened]
             rows += [(path, k, int(first + places[i]), -1, 0) for i in closed]
             for level, code in ((2, 2), (0, 3)):
                 objects = places[(kind == b"{"[0]) & (deep == level)]
@@ -119,7 +139,7 @@ def _events(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _table(rows, path=pa.string(), k=pa.int64(), place=pa.int64(), kind=pa.int32(), n=pa.int64())
 
 
-def _end(data: bytes, path: str, after: int) -> bytes:
+def _end(read: _Ahead, data: bytes, path: str, after: int) -> bytes:
     """The object that ``data`` starts with, read on behind it if need be."""
     while True:
         a = np.frombuffer(data, np.uint8)
@@ -128,23 +148,24 @@ def _end(data: bytes, path: str, after: int) -> bytes:
         done = np.flatnonzero(depth == 0)
         if len(done):
             return data[: done[0] + 1]
-        more = read_range(path, after, max(MORE, len(data)))
+        more = read(path, after, max(MORE, len(data)))
         if not more:
             raise ValueError(f"{path}: an object isn't closed")
         data, after = data + more, after + len(more)
 
 
 def _objects(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    read = _Ahead()
     for batch in incoming:
         for path, at, end, inside, depth, level, low, high, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            first, data, places, deep = _scan(path, at, end, inside, depth)
+            first, data, places, deep = _scan(read, path, at, end, inside, depth)
             chosen = places[(data[places] == b"{"[0]) & (deep == level) & (first + places > low) & (first + places < high)]
             raw = data.tobytes()
             ends = places[(data[places] == b"}"[0]) & (deep == level + 1)]
             stop = np.searchsorted(ends, chosen)
             texts = []
             for place, k in zip(chosen.tolist(), stop.tolist(), strict=True):
-                text = raw[place : ends[k] + 1] if k < len(ends) else _end(raw[place:], path, first + len(raw))
+                text = raw[place : ends[k] + 1] if k < len(ends) else _end(read, raw[place:], path, first + len(raw))
                 texts.append(text.decode())
                 if sum(map(len, texts[-64:])) > 1 << 22:
                     yield _texts(path, number, texts)
@@ -161,15 +182,22 @@ def objects(spark: SparkSession, path: str, chunk_bytes: int) -> DataFrame:
     """(path, feature_id, text) of the features of the files under a path, each as JSON text."""
     files = functools.reduce(DataFrame.unionByName, [listing(spark, path, ending).select("path", "length") for ending in (".geojson", ".json", ".txt")])
     step = F.lit(chunk_bytes).cast("long")
+    runs = files.agg(F.sum(F.ceil(F.col("length") / RUN_BYTES))).first()[0] or 1
+    # a number of its own: rows of chunks are so small that Spark would put them all into one task
+    tasks = min(runs, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(tasks, "path", F.floor(F.col("start") / RUN_BYTES)).sortWithinPartitions("path", "start")
+
     chunks = files.where("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / step).cast("long"))).alias("k"))
     chunks = chunks.select("path", "k", (F.col("k") * step).alias("start"), F.least((F.col("k") + 1) * step, F.col("length")).alias("stop"))
-    tallies = chunks.repartition("path", "k").mapInArrow(_tallies, "path string, k long, start long, stop long, odd int, out int, within int")
+    tallies = dealt(chunks).mapInArrow(_tallies, "path string, k long, start long, stop long, odd int, out int, within int")
     # a row for each chunk: running sums are small work
     before = Window.partitionBy("path").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     told = tallies.withColumn("inside", (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2).cast("int"))
     told = told.withColumn("net", F.when(F.col("inside") == 0, F.col("out")).otherwise(F.col("within")))
     told = told.withColumn("depth", F.coalesce(F.sum("net").over(before), F.lit(0)).cast("long")).select("path", "k", "start", "stop", "inside", "depth")
-    events = told.repartition("path", "k").mapInArrow(_events, "path string, k long, place long, kind int, n long")
+    events = dealt(told).mapInArrow(_events, "path string, k long, place long, kind int, n long")
     by_place = Window.partitionBy("path").orderBy("place")
     opens = events.where("kind < 2").withColumn("until", F.lead("place").over(by_place)).where("kind = 1")
     range_ = opens.groupBy("path").agg(F.min(F.struct("place", "until")).alias("r")).select("path", F.col("r.place").alias("low"), F.coalesce("r.until", F.lit(1 << 62)).alias("high"))
@@ -179,4 +207,4 @@ def objects(spark: SparkSession, path: str, chunk_bytes: int) -> DataFrame:
     work = told.join(counts, ["path", "k"]).join(range_, "path", "left")
     level = F.when(F.col("low").isNull(), 0).otherwise(2)
     work = work.select("path", "start", "stop", "inside", "depth", level.alias("level"), F.coalesce("low", F.lit(-1)).alias("low"), F.coalesce("high", F.lit(1 << 62)).alias("high"), "number")
-    return work.repartition("path", "start").mapInArrow(_objects, "path string, feature_id long, text string")
+    return dealt(work).mapInArrow(_objects, "path string, feature_id long, text string")

@@ -3,10 +3,11 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from meridian.sources import vector
+from meridian.sources import geojson, vector
 
 
 def features(n, rng):
@@ -98,3 +99,24 @@ def test_summaries_and_problems(spark, tmp_path):
     assert problems == [(1, "1", ring), (2, "1/1", line), (2, "2", ring), (3, "", "no geometry"), (4, "", line), (5, "", "no parts")]
     got = {r.kind: (r.features, r.xmax, r.properties) for r in vector.summarize(read, total=True).collect()}
     assert got["*"] == (6, 9.0, ["a", "b", "c"]) and got["Polygon"] == (1, 4.0, ["b", "c"]) and got[None] == (1, None, ["a"])
+
+
+def test_small_chunks_do_not_read_a_file_many_times(tmp_path, monkeypatch):
+    members = features(3000, random.Random(5))
+    text = collection(members, random.Random(6)).encode()
+    path = str(tmp_path / "x.geojson")
+    (tmp_path / "x.geojson").write_bytes(text)
+    low = text.index(b'"features": [{"type"') + 12
+    asked = []
+    real = geojson.read_range
+    monkeypatch.setattr(geojson, "read_range", lambda p, start, length: asked.append(length) or real(p, start, length))
+    starts = range(0, len(text), 4096)
+    tallies = pa.Table.from_batches(geojson._tallies(iter([pa.RecordBatch.from_pydict({"path": [path] * len(starts), "k": list(range(len(starts))), "start": list(starts), "stop": [min(s + 4096, len(text)) for s in starts]})]))).to_pylist()
+    inside, depth, rows = 0, 0, []
+    for t in tallies:
+        rows.append({"path": path, "start": t["start"], "stop": t["stop"], "inside": inside, "depth": depth, "level": 2, "low": low - 1, "high": text.rindex(b'], "links"'), "number": 0})
+        depth += t["within"] if inside else t["out"]
+        inside = (inside + t["odd"]) % 2
+    found = [json.loads(v) for b in geojson._objects(iter([pa.RecordBatch.from_pylist(rows)])) for v in b.column(2).to_pylist()]
+    assert found == members
+    assert sum(asked) < 3 * len(text)  # two scans
