@@ -39,3 +39,15 @@ def test_averages_under_zones_whose_sides_lie_on_borders_of_cells(spark, tables)
     got, want = both(spark, "raster_sample_average", tables(zones, [y * 40 + x for y in rows for x in range(40)]))
     assert any(v is not None for _, v in want)
     assert got == want
+
+
+def test_triangles_that_touch_by_their_last_digit(spark, tables):
+    got, want = both(spark, "polygon_intersection_join", tables([233, 3593, 323, 3683, 953, 4313, 1403, 4763, 2483, 5843, 5, 1463]))
+    assert len(want) > 0
+    assert got == want
+
+
+@pytest.mark.parametrize("name", ["polygon_intersection_join"])
+def test_zones_whose_sides_touch_but_whose_centres_are_too_far_apart_by_a_last_digit(spark, tables, name):
+    got, want = both(spark, name, tables([4022, 50822, 678, 24278, 5780, 46780, 3827, 33227]))
+    assert got == want
