@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.crs.ellipsoid import WGS84
-from meridian.functions import buffers, geodesic, overlay, planar
+from meridian.functions import buffers, geodesic, overlay, planar, strips
 
 from .fixtures import view
-from .planar_queries import STRIPS, polygons, query, r, zone_pairs
+from .planar_queries import STRIPS, polygons, query, r, zone_overlays, zone_pairs
 
 
 def _area(name: str, sql: str, operation: str) -> None:
@@ -28,7 +28,7 @@ _area("clip_xor_area", "aa + ab - 2*meet", "symmetric_difference")
 @query("rects_overlap", f"WITH {STRIPS} SELECT left_id, right_id, meet > 1e-9*(aa+ab) AND meet < aa - 1e-9*(aa+ab) AND meet < ab - 1e-9*(aa+ab) AS overlap, meet >= ab - 1e-9*(aa+ab) AS holds FROM p")
 def rects_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("s")
-    pairs = zone_pairs(spark, sf_dir).withColumn("s", overlay.areas(F.col("polygon_l"), F.col("polygon_r")))
+    pairs = zone_overlays(spark, sf_dir, strips.areas, overlay.areas, "s")
     return pairs.select("left_id", "right_id", overlay.overlaps(s).alias("overlap"), overlay.contains(s).alias("holds"))
 
 

@@ -47,7 +47,7 @@ def test_triangles_that_touch_by_their_last_digit(spark, tables):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["polygon_intersection_join"])
+@pytest.mark.parametrize("name", ["rects_overlap", "polygon_intersection_join"])
 def test_zones_whose_sides_touch_but_whose_centres_are_too_far_apart_by_a_last_digit(spark, tables, name):
     got, want = both(spark, name, tables([4022, 50822, 678, 24278, 5780, 46780, 3827, 33227]))
     assert got == want
