@@ -41,13 +41,24 @@ def test_averages_under_zones_whose_sides_lie_on_borders_of_cells(spark, tables)
     assert got == want
 
 
+#: Zones with pairs whose areas in hundredths end in n.nnnn5.
+TIES = [5, 1463, 6, 347, 9, 4154, 20, 899, 2, 872, 881, 5555, 1661, 11, 4838, 1, 1562, 2150, 1119, 1801, 4062]
+
+
+@pytest.mark.parametrize("name", ["clip_common_area", "clip_union_area", "clip_difference_area", "clip_xor_area"])
+def test_areas_that_round_by_their_last_digit(spark, tables, name):
+    got, want = both(spark, name, tables(TIES))
+    assert len(want) > 4
+    assert got == want
+
+
 def test_triangles_that_touch_by_their_last_digit(spark, tables):
     got, want = both(spark, "polygon_intersection_join", tables([233, 3593, 323, 3683, 953, 4313, 1403, 4763, 2483, 5843, 5, 1463]))
     assert len(want) > 0
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["rects_overlap", "polygon_intersection_join"])
+@pytest.mark.parametrize("name", ["rects_overlap", "clip_common_area", "polygon_intersection_join"])
 def test_zones_whose_sides_touch_but_whose_centres_are_too_far_apart_by_a_last_digit(spark, tables, name):
     got, want = both(spark, name, tables([4022, 50822, 678, 24278, 5780, 46780, 3827, 33227]))
     assert got == want
