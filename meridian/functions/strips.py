@@ -11,7 +11,7 @@ from differences of coordinates (slopes, areas of rings) keep no digits that the
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,10 @@ MOST = 8
 FLAT = 64.0
 #: Sine of the least turn at a corner.
 TURN = 1e-9
-#: Numbers before the rings of a column of :func:`strips`: area, how many rings, how many left sides, right sides, corners between and corners of each.
-HEAD = 6
+#: Numbers before the rings of a column of :func:`strips`: area, how many rings, and as one number how many left sides, right sides, corners between and corners of each.
+HEAD = 3
+#: Base of that number's digits.
+BASE = 16
 
 
 @dataclass
@@ -228,7 +230,9 @@ def meet(a: Rings, b: Rings) -> np.ndarray:
 
 def _flat(r: Rings) -> pa.Array:
     """Polygons that fit as lists of numbers, null for others: all that :class:`Rings` says, with columns that no ring of the batch needs left out."""
-    sizes = [len(r.left), len(r.right), len(r.between), len(r.corners)]
+    make = 0
+    for columns in (r.left, r.right, r.between, r.corners):
+        make = make * BASE + len(columns)
     of_ring = [r.low, r.high, *(v for side in (r.left, r.right) for line in side for v in line), *r.between, *(v for corner in r.corners for v in corner)]
     block = np.column_stack(of_ring) if len(r.low) else np.empty((0, len(of_ring)))
     width, n = block.shape[1], len(r.fits)
@@ -237,7 +241,7 @@ def _flat(r: Rings) -> pa.Array:
     start = np.cumsum(length) - length
     values = np.empty(int(length.sum()))
     rows = np.flatnonzero(r.fits)
-    for k, v in enumerate([r.area[rows], rings_of[rows], *(np.full(len(rows), float(s)) for s in sizes)]):
+    for k, v in enumerate((r.area[rows], rings_of[rows], make)):
         values[start[rows] + k] = v
     for at, ring in ((HEAD, r.outer), (HEAD + width, r.hole)):
         some = rows if ring is r.outer else rows[r.hole[rows] >= 0]
@@ -261,15 +265,16 @@ def _read(column: pa.Array) -> Rings:
     area = np.zeros(n)
     area[rows] = head[:, 0]
     total = int(count.sum())
-    most = head[:, 2:].max(axis=0).astype(int) if len(rows) else np.zeros(4, int)
+    make = head[:, 2].astype(np.int64)
+    makes = {int(k): [int(k) // BASE**e % BASE for e in (3, 2, 1, 0)] for k in np.flatnonzero(np.bincount(make))}
+    most = [max(sizes[kind] for sizes in makes.values()) if makes else 0 for kind in range(4)]
     fill = [(-np.inf, 0.0), (np.inf, 0.0), (np.nan,), (np.nan, np.nan)]
     low, high = np.empty(total), np.empty(total)
     columns = [[tuple(np.full(total, v) for v in fill[kind]) for _ in range(most[kind])] for kind in range(4)]
     # batches differ in how many columns they need: lists of one make are read together
-    for make in np.unique(head[:, 2:], axis=0) if len(rows) else ():
-        sizes = make.astype(int)
+    for code, sizes in makes.items():
         width = 2 + sum(len(fill[kind]) * sizes[kind] for kind in range(4))
-        alike = np.flatnonzero((head[:, 2:] == make).all(axis=1))
+        alike = np.flatnonzero(make == code)
         for ring, which in ((0, alike), (1, alike[count[alike] == 2])):
             to, at = outer[rows[which]] + ring, start[which] + HEAD + ring * width
             low[to], high[to] = values[at], values[at + 1]
@@ -283,11 +288,15 @@ def _read(column: pa.Array) -> Rings:
     return Rings(fits, outer, hole, area, low, high, left, right, [c[0] for c in between], corners)
 
 
-def strips(polygon: Column) -> Column:
-    """What the other functions take: all that they need of a polygon that fits, null for others.  Worth computing before polygons are paired."""
+def strips(polygon: Column, corners: bool = True) -> Column:
+    """What the other functions take: all that they need of a polygon that fits, null for others.  Worth computing before polygons are paired.
+
+    ``corners``: with corners, which are more than half of the numbers and which only :func:`intersect` needs.
+    """
 
     def run(column: pa.Array) -> pa.Array:
-        return _flat(rings(whole(column)))
+        told = rings(whole(column))
+        return _flat(told if corners else replace(told, corners=[]))
 
     return F.arrow_udf(run, "array<double>")(polygon)
 
